@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Used where spark.checkpoint.dir is unset, which is so in tests on one machine only.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
@@ -55,7 +57,16 @@ class Scratch:
         """Writes df, and gives a DataFrame that reads it back: its lineage ends there."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        # once the table is written, nothing reads the shuffle files that led to it
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN)
+            else:
+                self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
