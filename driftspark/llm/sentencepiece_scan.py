@@ -123,9 +123,11 @@ def combine(matrices: list[np.ndarray]) -> np.ndarray:
 def chunks(text: str, size: int = CHUNK) -> list[str]:
     """Parts of a text of about size characters, cut before a space that follows another sign; a word is never cut."""
     out, at = [], 0
+    blank = lambda c: c.isspace() or c == SPACE
     while len(text) - at > size:
         cut = text.find(" ", at + size)
-        while 0 < cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut - 1] == SPACE or text[cut + 1].isspace() or text[cut + 1] == SPACE):
+        # a space at the very end, or beside another, may be a piece of its own
+        while cut >= 0 and (cut + 1 == len(text) or blank(text[cut - 1]) or blank(text[cut + 1])):
             cut = text.find(" ", cut + 1)
         if cut < 0:
             break
