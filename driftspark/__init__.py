@@ -1 +1 @@
-"""Analytics of drifting particles as Spark DataFrames."""
+"""Analytics of drifting particles, in PySpark."""

@@ -61,9 +61,10 @@ def locate(points: DataFrame, triangles: DataFrame, size: float, tolerance: floa
 
 def interpolate(located: DataFrame, field: DataFrame, key: str) -> DataFrame:
     """Weighted sums of a field (node, nt, val) at located points with time t in steps: linear in space and time."""
-    t = located.withColumn("nt", F.floor("t")).withColumn("s", F.col("t") - F.floor("t"))
-    corner = F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("node"), F.col(f"b{i}").alias("w")) for i in range(3)]))
-    v = t.select(key, "nt", "s", corner.alias("q")).select(key, "q.node", F.explode(F.array(
-        F.struct(F.col("nt").alias("nt"), (F.col("q.w") * (1 - F.col("s"))).alias("w")), F.struct((F.col("nt") + 1).alias("nt"), (F.col("q.w") * F.col("s")).alias("w")),
-    )).alias("z")).select(key, "node", "z.nt", "z.w")
+    nt, part = F.floor("t"), F.col("t") - F.floor("t")
+    parts = [
+        F.struct(F.col(f"n{i}").alias("node"), (nt + k).alias("nt"), (F.col(f"b{i}") * w).alias("w"))
+        for i in range(3) for k, w in ((0, 1 - part), (1, part))
+    ]
+    v = located.select(key, F.explode(F.array(*parts)).alias("q")).select(key, "q.node", "q.nt", "q.w")
     return v.join(field, ["node", "nt"]).groupBy(key).agg(F.sum(F.col("w") * F.col("val")).alias("val"))

@@ -24,7 +24,7 @@ def gridded(obs: DataFrame, keys: list[Column | str], x: tuple, y: tuple, z: tup
     for col, start, width, n in axes.values():
         rows = rows.where(within(col, start, start + width * n))
     cells = [bin_of(col, start, width).alias(name) for name, (col, start, width, _) in axes.items()]
-    sums = [s for p in props for s in (exact_sum(p).alias(f"sum_{p}"), F.round(F.try_divide(exact_sum(p), F.count(p)), 6).alias(f"mean_{p}"))]
+    sums = [s for p in props for s in (exact_sum(p).alias(f"sum_{p}"), F.try_divide(exact_sum(p), F.count(p)).alias(f"mean_{p}"))]
     return rows.groupBy(*keys, *cells).agg(F.count("*").alias("n"), *sums)
 
 
@@ -33,7 +33,7 @@ def alive_by(obs: DataFrame, *keys) -> DataFrame:
 
 
 def connectivity(counts: DataFrame, alive_counts: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.join(alive_counts, keys).withColumn("conn", F.round(F.try_divide(F.col("n"), F.col("n_alive")), 6))
+    return counts.join(alive_counts, keys).withColumn("conn", F.try_divide(F.col("n"), F.col("n_alive")))
 
 
 def running_mean(obs: DataFrame, start: int, update: int, k: int, *keys: str) -> DataFrame:
@@ -45,7 +45,7 @@ def running_mean(obs: DataFrame, start: int, update: int, k: int, *keys: str) ->
     counts = rows.groupBy(F.floor(F.col("nu") / k).cast("long").alias("blk"), *keys).agg(F.count("*").alias("n"))
     # the span is one row
     out = counts.join(F.broadcast(span), F.col("blk").between(F.col("first"), F.col("last")))
-    return out.select("blk", *keys, F.round(F.col("n") / F.lit(float(k)), 6).alias("m"))
+    return out.select("blk", *keys, (F.col("n") / F.lit(float(k))).alias("m"))
 
 
 def released_so_far(obs: DataFrame, width: int) -> DataFrame:
@@ -73,4 +73,4 @@ def ftle(grid: DataFrame, lag: float, spacing: float = 1.0) -> DataFrame:
     ]).dropna()
     a, b, e = F.expr("fxx*fxx+fyx*fyx"), F.expr("fxx*fxy+fyx*fyy"), F.expr("fxy*fxy+fyy*fyy")
     largest = (a + e) / 2.0 + F.sqrt((a - e) * (a - e) / 4.0 + b * b)
-    return d.where(largest > 0).select("r", "c", F.round(F.ln(F.sqrt(largest)) / lag, 6).alias("ftle"))
+    return d.where(largest > 0).select("r", "c", (F.ln(F.sqrt(largest)) / lag).alias("ftle"))

@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from driftspark.plans import meshes, observed  # noqa: F401  they register their queries
+from driftspark.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def grid2d_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"grid2d_time": grid2d_time}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

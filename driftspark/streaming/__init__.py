@@ -1 +1,45 @@
+"""The live path: windowed counts and entry/exit events over a stream of states."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def live_counts(stream: DataFrame, ts: str, width: str, late: str, *keys: Column | str) -> DataFrame:
+    """Counts by tumbling windows and keys; rows later than ``late`` are dropped with their windows' state."""
+    counts = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), *[c for c in counts.columns if c not in ("w", "n")], "n")
+
+
+EVENTS = "id long, ts timestamp, poly long, flag long"
+_STATE = "poly long, inside boolean"
+
+
+def _edges(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Entries (+1) and exits (-1) of one particle; an exit tells the polygon of entry."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    poly, inside = state.get if state.exists else (-1, False)
+    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+    out = []
+    for ts, now in zip(rows.ts, rows.poly):
+        if (now >= 0) != inside:
+            inside = not inside
+            if inside:
+                poly = int(now)
+            out.append((key[0], ts, int(poly), 1 if inside else -1))
+    state.update((int(poly), inside))
+    state.setTimeoutTimestamp(max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 30 * 86_400_000)
+    yield pd.DataFrame(out, columns=["id", "ts", "poly", "flag"])
+
+
+def live_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """EVENTS of a stream of id, ts, event_id and poly (-1 outside); a particle unseen for 30 days is forgotten."""
+    rows = stream.select("id", "ts", "event_id", "poly").withWatermark("ts", late)
+    return rows.groupBy("id").applyInPandasWithState(_edges, EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
