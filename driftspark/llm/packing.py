@@ -38,7 +38,7 @@ from driftspark.llm.common import Scratch, map_arrow, own_columns
 
 END_ID = 2
 #: Pieces of one length that are numbered in one group, about.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 10_000
 _USUAL = re.compile(r"[\x00-ɏ]*\Z")
 
 
