@@ -5,7 +5,7 @@ of six or more characters), ``access`` (AKIA identifiers of 20 or more character
 digits).  They are always reported.
 
 Weak candidates say little alone: ``weak_access`` (16 to 40 capitals and digits, both present),
-``weak_secret`` (24 to 80 base64 characters of mixed case with digits and an entropy of 3.5 bits or more) and
+``weak_secret`` (24 or more base64 characters of mixed case with digits and an entropy of 3.5 bits or more) and
 ``endpoint`` (a URL).  They are linked by an interval join: each part's scope is its span widened by
 ``reach`` code points, cut at blank lines.  A weak access identifier is reported if a secret part (assign,
 hex, weak secret) overlaps its scope; a weak secret if an access identifier does; an endpoint if both an
@@ -41,7 +41,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,40}(?![A-Za-z0-9])")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,80}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
