@@ -71,3 +71,17 @@ def test_crowds_of_copies(spark):
     crowd = [q for q in want if q % 3]
     assert crowd and all(got[q] == {i for i in (1, 2, 4, 5, 7, 8) if i != q} - ({8} if q > 8 or q not in (1, 2, 4, 5, 7) else set()) for q in crowd)
     assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.003, 0.001])
+def test_crowds_of_near_copies(spark, noise):
+    """A third of all vectors is one vector with a little noise."""
+    rng = np.random.default_rng(1)
+    one = rng.standard_normal(64)
+    x = [one + noise * rng.standard_normal(64) if i % 3 == 0 else rng.standard_normal(64) for i in range(3000)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = {}, brute(rows, 50, 5)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    crowd = [q for q in want if q % 3 == 0]
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in crowd) >= 0.9 * 5 * len(crowd)
