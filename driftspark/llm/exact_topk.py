@@ -17,9 +17,9 @@ Arithmetic is exact: floor(64 * x) of doubles, then products in doubles while ev
 else in Python's integers.  A score outside 64 bits raises an error.
 
 Edge cases.  Null ids, null vectors, and vectors with null or non-finite components take no part.  Vectors of
-different lengths are never compared.  Ties go to smaller ids.  Repeated ids are candidates of their own, but
-a query never returns its own id; a query id that occurs twice gives the merged results of its rows once per
-row order: its rows are told apart by their vectors.  Empty tables give no rows.  Extra columns are not read.
+different lengths are never compared.  Ties go to smaller ids.  Repeated rows are candidates of their own and
+take a rank each, but a query never returns its own id; a query id that occurs twice ranks the candidates of all
+its rows together, as often as they occur.  Empty tables give no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -189,10 +189,9 @@ def top_k(embeddings: DataFrame, every: int, k: int, shard_rows: int = 8192, que
     again = blocks.join(low, ["dim", "part"], "left").where("last > pilot")
     again = map_arrow(again, _with_kth, "dim int, part long, q_ids binary, q_data binary, q_rows binary, kth binary, pilot long, last long")
     rest = run(again.withColumn("shard", F.explode(F.sequence("pilot", "last"))).where("shard <> pilot"))
-    found = pilot.union(rest).distinct()
+    found = pilot.union(rest)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

@@ -60,3 +60,16 @@ def test_boxes_bound_their_leaves():
     bound = np.maximum(q, 0) @ shard.high.T + np.minimum(q, 0) @ shard.low.T
     for k, (a, b) in enumerate(zip(shard.starts, shard.ends)):
         assert (shard.x[a:b] @ q).max() <= bound[k]
+
+
+@pytest.mark.parametrize("shards", [(8192, 4096), (10, 3)])
+def test_repeated_rows(spark, shards):
+    """Rows repeated more than k times, ids with two vectors and a repeated query: candidates and queries are rows."""
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(3, [9.0, 9.0])] * 12 + [(11, [8.0, 8.0])] * 3 + [(20, [1.0, 3.0]), (40, [0.0, 0.0])]
+    emb, k = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10
+    made = [(i, ints(v)) for i, v in rows]
+    want = []
+    for q in (0, 20, 40):
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in made if p == q for i, w in made if i != q)[:k]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, exact_topk.top_k(emb, 20, k, *shards).collect())) == want
