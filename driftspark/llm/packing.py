@@ -15,7 +15,13 @@ buckets' running counts, so that a length that a third of all rows share is spre
 Tokens.  ids are those of the vocabulary's ``tokenizers`` file.  For texts of code points below 0x250 the same
 vocabulary's ranks are used through ``tiktoken``, which is several times faster and gives the same ids (the
 tests compare them, each code point included); all other texts, and those that hold a special token's string,
-go through ``tokenizers``.
+go through ``tokenizers``, long ones in parts that end before a lone blank, where the vocabulary's words end too.
+
+Memory.  A worker process has one encoder, whatever the number of its tasks, and loads the slow tokenizer only when
+a text needs it.  Pieces leave a task in batches of ``BATCH_ROWS``.
+
+The query's capacities of documents (1,024) and of attention (1,024 squared) never bind beside 1,024 tokens; smaller
+ones do (``documents=``, ``attention=``).
 
 Edge cases.  Null or empty text: the end id alone.  A null doc_id is kept.  Repeated rows are packed as
 documents of their own.  An empty table gives no rows.  Extra columns are not read.
@@ -24,10 +30,13 @@ documents of their own.  An empty table gives no rows.  Extra columns are not re
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +48,24 @@ from driftspark.llm.common import Scratch, map_arrow, own_columns
 END_ID = 2
 #: Pieces of one length that are numbered in one group, about.
 BUCKET_ROWS = 10_000
+#: Rows of a batch that leaves a task.
+BATCH_ROWS = 2_000
+#: Characters that the slow tokenizer gets at once, about.
+SLOW_CHARS = 20_000
 _USUAL = re.compile(r"[\x00-ɏ]*\Z")
+_LONE_BLANK = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary: by its ranks where that is known to be the same, else by its file."""
+    """Ids of a byte-level BPE vocabulary: by its ranks where that is known to be the same, else by its file.
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
+    special: the strings of its special tokens; read from the file if not given.
+    """
 
-        self.slow = Tokenizer.from_file(path)
-        special = [x.content for x in self.slow.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, special: tuple[str, ...] | None = None):
+        self.path, self._slow, self.fast = path, None, None
+        special = special_tokens(path) if special is None else special
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.fast = None
         if ranks and pattern:
             import tiktoken
 
@@ -59,10 +73,40 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def slow(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and _USUAL.match(text) and not (self.special and self.special.search(text)):
             return np.asarray(self.fast.encode_ordinary(text), np.uint32)
-        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        parts = [np.asarray(self.slow.encode(part, add_special_tokens=False).ids, np.uint32) for part in slow_parts(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def special_tokens(path: str) -> tuple[str, ...]:
+    """The strings of a tokenizer file's special tokens."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f).get("added_tokens", []))
+
+
+def slow_parts(text: str, size: int = SLOW_CHARS) -> list[str]:
+    """Parts of about size characters, cut before a lone blank between other signs: a word of the pattern begins there."""
+    out, at = [], 0
+    while len(text) - at > size and (found := _LONE_BLANK.search(text, at + size)):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
+@lru_cache(maxsize=1)
+def _encoder(args: tuple) -> Encoder:
+    """The worker process's encoder."""
+    return Encoder(*args)
 
 
 def cuts(length: int, size: int) -> list[tuple[int, int]]:
@@ -72,22 +116,21 @@ def cuts(length: int, size: int) -> list[tuple[int, int]]:
 
 
 def _pieces(encoder: tuple, size: int, end_id: int, keep_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(*encoder)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encode = _encoder(encoder)
         for batch in batches:
-            rows, all_ids = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for k, (a, n) in enumerate(cuts(len(ids), size)):
-                    rows.append((doc, k, a, n, zlib.crc32(ids[a : a + n].tobytes())))
-                    if keep_ids:
-                        all_ids.append(ids[a : a + n].astype(np.int32))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays, names = [pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                arrays, names = [*arrays, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.record_batch(arrays, names)
+                    part = ids[a : a + n]
+                    yield (doc.as_py(), k, a, n, zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * keep_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(rows_of(batches), BATCH_ROWS):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
 
@@ -97,6 +140,8 @@ def pieces(docs: DataFrame, encoder: tuple, size: int = 1024, end_id: int = END_
 
     encoder: the arguments of Encoder; paths must be readable on the executors.
     """
+    if len(encoder) < 4:  # read here, so that no worker has to parse the file
+        encoder = (*encoder, *[None] * (3 - len(encoder)), special_tokens(encoder[0]))
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return map_arrow(docs, _pieces(encoder, size, end_id, keep_ids), schema)

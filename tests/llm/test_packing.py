@@ -23,6 +23,27 @@ def test_fast_ids_are_those_of_the_file():
         assert encode(text).tolist() == slow(text).tolist(), repr(text)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_slow_parts_give_the_ids_of_the_whole(size):
+    slow = packing.Encoder(tokenizer_files()[0]).slow
+    rnd = random.Random(size)
+    signs = ["a", "B1", " ", "  ", "\n", "\n\n", "\t", "日本", "é", "'s", "<|endoftext|>", "\u2003", "\x1c", "!", "\x85", "\U0001f600"]
+    for _ in range(200):
+        text = "".join(rnd.choice(signs) for _ in range(80))
+        parts = packing.slow_parts(text, size)
+        assert "".join(parts) == text
+        ids = [i for part in parts for i in slow.encode(part, add_special_tokens=False).ids]
+        assert ids == slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_slow_tokenizer_is_loaded_when_needed():
+    encode = packing.Encoder(*tokenizer_files())
+    encode("plain text")
+    assert encode._slow is None
+    encode("日本")
+    assert encode._slow is not None
+
+
 def test_cuts():
     for n in range(1, 60):
         got = packing.cuts(n, 10)
