@@ -21,19 +21,31 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where the session names none."""
+    """The shared folder of the session; a local one only where the session names none and runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return root or f"file://{LOCAL_SCRATCH}"
 
 
 class Scratch:
     """Parquet tables of one operator call in the shared folder."""
 
+    #: Those that are not closed yet.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        Scratch.opened.append(self)
+
+    def close(self) -> None:
+        """Deletes all tables; nothing may read them any more."""
+        self._delete(self.root)
+        Scratch.opened.remove(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Writes df, and gives a DataFrame that reads it back: its lineage ends there."""
@@ -55,8 +67,10 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        self._delete(df.scratch_path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -66,10 +80,26 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, null where the input has none of that name."""
-    have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+def own_columns(df: DataFrame, *names: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Only the named columns, by names without case; an optional one that the input has not is null."""
+    have: dict[str, list[str]] = {}
+    for c in df.columns:
+        have.setdefault(c.lower(), []).append(c)
+    out = []
+    for n in names:
+        found = have.get(n.lower(), [])
+        exact = [c for c in found if c == n]
+        if len(exact or found) > 1:
+            raise ValueError(f"more than one column is called {n}")
+        if not found and n not in optional:
+            raise ValueError(f"there is no column {n}, but {', '.join(df.columns)}")
+        out.append(df[f"`{(exact or found)[0]}`"].alias(n) if found else F.lit(None).alias(n))
+    return df.select(*out)
+
+
+def column_of(df: DataFrame, name: str) -> str:
+    """What the input calls a column; names compare without case."""
+    return next(c for c in sorted(df.columns, key=lambda c: c != name) if c.lower() == name.lower())
 
 
 def fresh(base: str, taken: list[str]) -> str:

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from driftspark.llm.common import Scratch, components, fresh, groups
+from driftspark.llm.common import Scratch, components, fresh, groups, own_columns, scratch_root
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -34,3 +34,34 @@ def test_groups_never_cut_a_run(size):
 
 def test_fresh():
     assert fresh("x", ["y"]) == "x" and fresh("x", ["X", "x_"]) == "x__"
+
+
+def test_own_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "Doc_ID long, TEXT string, x int")
+    assert own_columns(df, "doc_id", "text").collect() == [(1, "a")] and own_columns(df, "doc_id", "text").columns == ["doc_id", "text"]
+    assert own_columns(df, "doc_id", "lang", optional=("lang",)).collect() == [(1, None)]
+    with pytest.raises(ValueError, match="lang"):
+        own_columns(df, "doc_id", "lang")
+
+
+def test_scratch(spark):
+    scratch = Scratch(spark, "test")
+    one = scratch.put(spark.range(3))
+    assert one.count() == 3 and scratch in Scratch.opened
+    scratch.close()
+    assert scratch not in Scratch.opened
+    with pytest.raises(Exception):
+        one.count()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session())
