@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import map_arrow, own_columns
+from driftspark.llm.common import column_of, map_arrow, own_columns
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "weak_access", "weak_secret", "endpoint")
@@ -73,12 +73,12 @@ def weak_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH)
     ]
     weak += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if base or weak else []
     taken = sorted((a, b) for a, b, _ in base)
-    starts = [a for a, _ in taken]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
 
     def covered(a: int, b: int) -> bool:
-        """Within what a base span says already."""
+        """Whether a base span says some of it already."""
         i = bisect_left(starts, b)
-        return any(x < b and a < y for x, y in taken[max(0, i - 3) : i])
+        return i > 0 and ends[i - 1] > a
 
     weak = [x for x in weak if x[2] == "endpoint" or not covered(x[0], x[1])]
     if not weak:
@@ -183,7 +183,9 @@ def _mask(reach: int, column: str):
 
 def mask_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The documents with their secrets masked; all rows and columns of the input, n_chars as it now is."""
-    out = map_arrow(docs, _mask(reach, "text"), docs.schema)
+    own_columns(docs, "text")
+    text = column_of(docs, "text")
+    out = map_arrow(docs, _mask(reach, text), docs.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType))
     return out
