@@ -137,19 +137,20 @@ def _in_integers(shard: Shard, ids: np.ndarray, q: np.ndarray, k: int):
         yield np.array([c for _, c in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
 
 
-def _packed(kind: str):
-    """One row per group (dim, part): ids and data as bytes."""
+def _packed(kind: str, parts: int, most: int):
+    """One row per group (dim, part): ids and data as bytes.  What is over most rows goes to parts of further numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["dim", "part"]):
             keys = np.stack([table["dim"].to_numpy(), table["part"].to_numpy()])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
+            spans = [(i, min(i + most, b), (i - a) // most) for a, b in zip(cuts, cuts[1:]) for i in range(a, b, most)]
+            for a, b, more in spans:
                 part = table.slice(a, b - a)
                 dim, ids = int(keys[0, a]), part["vec_id"].to_numpy()
                 data = _floor64(matrix(part["v"], dim))
                 yield pa.record_batch(
-                    [pa.array([dim], pa.int32()), pa.array([keys[1, a]], pa.int64()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([np.ascontiguousarray(data).tobytes()])],
+                    [pa.array([dim], pa.int32()), pa.array([keys[1, a] + more * parts], pa.int64()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([np.ascontiguousarray(data).tobytes()])],
                     ["dim", "part", f"{kind}ids", f"{kind}data"],
                 )
 
@@ -157,11 +158,11 @@ def _packed(kind: str):
 
 
 def _deal(rows: DataFrame, size: int, kind: str) -> DataFrame:
-    """Rows packed by parts of about size rows: dim, part, ids, data.  Needs the count of rows."""
+    """Rows packed by parts of about size rows, four times as many at most: dim, part, ids, data.  Needs the count of rows."""
     n = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
     dealt = dealt.repartition(n, "dim", "part").sortWithinPartitions("dim", "part", "vec_id")
-    return map_arrow(dealt, _packed(kind), f"dim int, part long, {kind}ids binary, {kind}data binary")
+    return map_arrow(dealt, _packed(kind, n, 4 * size), f"dim int, part long, {kind}ids binary, {kind}data binary")
 
 
 def top_k(embeddings: DataFrame, every: int, k: int, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
