@@ -13,7 +13,7 @@ Pairs of which at least one is new are compared, and each node's list is merged
 
 Search.  A query starts at its own node.  Each step joins the unexpanded nodes of its best ``ef`` to the
 graph, whose rows carry the neighbours' vectors, and keeps the best ``ef`` again, until nothing is left to
-expand or ``steps`` are done.  All of them are scored anew on the original vectors in double precision.
+expand (a node is expanded once, so that comes).  All of them are scored anew on the original vectors in double precision.
 
 Inside, unit vectors are kept as four-byte floats, and compared by -|a - b|^2 / 2, the cosine less one, summed in
 double precision: small differences within a crowd of near copies keep their digits.  Recall is measured in the tests and stated in the README.
@@ -300,7 +300,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("q"), pa.array(ids, pa.list_(pa.int64()))], ["q", "node"])
 
 
-def nearest(embeddings: DataFrame, every: int, k: int, ef: int = 256, steps: int = 12, **how) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int, k: int, ef: int = 256, **how) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by every.
 
     how: degree, reverse, trees, rounds and each of graph().
@@ -323,15 +323,13 @@ def nearest(embeddings: DataFrame, every: int, k: int, ef: int = 256, steps: int
     # a node's number as eight little-endian bytes
     own = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("q", 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)]))
     pools = scratch.put(asked.select("q", own.alias("ids"), same.alias("sims"), F.lit(bytearray(b"\1")).alias("done"), F.array("q").alias("next")))
-    for _ in range(steps):
+    while not pools.where(F.size("next") > 0).isEmpty():
         ahead = pools.select("q", F.explode("next").alias("at")).join(asked, "q").join(index, "at")
         found = map_arrow(ahead.select("q", "bytes", "ids", "vectors"), _compare, "q long, ids binary, sims binary, pool boolean")
         merged = pools.select("q", "ids", "sims", "done").union(found.select("q", "ids", "sims", F.lit(None).cast("binary").alias("done")))
         after = scratch.put(map_arrow(merged.repartition("q").sortWithinPartitions("q"), _pools(ef), POOL))
         scratch.drop(pools)
         pools = after
-        if pools.where(F.size("next") > 0).isEmpty():
-            break
     best = map_arrow(pools.select("q", "ids"), _ids, "q long, node array<bigint>")
     pairs = best.select("q", F.explode("node").alias("node")).join(nodes.select("node", "v", "ids"), "node").join(queries.select("query_id", "q", "qv"), "q")
     scored = map_arrow(pairs.select("query_id", "qv", "v", "ids"), _exact(k), "query_id long, vec_id long, score double")
