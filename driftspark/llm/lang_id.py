@@ -5,14 +5,16 @@ longest phrases that occur in that language's text; few phrases mean that the te
 (Ziv and Merhav's cross parsing).  The language needing the fewest phrases, normalised by the size of its
 automaton's text, wins.
 
-Fit (on the driver, bounded).  ``rows`` labelled rows of each language, the first by a hash of doc_id, each
+Fit (on the driver, bounded).  ``rows`` labelled rows of each language, the first by a hash of doc_id and text, each
 giving a window of at most ``window`` characters, up to ``chars`` characters in all.  A count by language
-sets the share of hashes that is read, so no text is shuffled.  The automata have at most 2 * chars states.
+sets the share of hashes that is looked at; no more than ``rows`` rows a language reach the driver, whatever
+repeats.  The automata have at most 2 * chars states.
 
-Prediction (everywhere, whole texts).  Texts of more than ``SEGMENT`` letters and spaces are parsed in
-segments, which adds at most one phrase a segment, alike for each language.  All segments of a batch advance
-together through one transition table; a missing transition ends the phrase and starts the next one at the
-same letter.
+Prediction (everywhere, whole texts).  Segments of ``SEGMENT`` letters and spaces of all texts of a batch advance
+together through one transition table; a missing transition ends the phrase and starts the next one at the same
+letter.  Where a text goes on in another segment, the parse of the one before is carried on until both begin a
+phrase at one place, and the phrases up to there are counted anew: the counts are those of one parse of the whole
+text, however it is cut.
 
 Normal form: lower case, letters kept, each run of anything else one space.  The alphabet is the most
 frequent letters of the fit; other letters share one sign.
@@ -31,14 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftspark.llm.common import crc_mod, map_arrow, own_columns
+from driftspark.llm.common import column_of, crc_mod, map_arrow, own_columns
 
 UNKNOWN = "und"
-SEGMENT = 1024
+SEGMENT = 2048
+#: Signs within which the parses of two segments are expected to meet; else the text is parsed by itself.
+MEET = 256
 #: Signs that the transition table knows: 0 space, 1 any other letter, the rest by frequency.
 SIGNS = 64
 #: Characters that are parsed at once.
@@ -187,6 +191,7 @@ class Parser:
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # how many are longer than t
         state = np.repeat(self.model.roots[:, None], len(owner), 1)
         counts = np.zeros((langs, len(owner)), np.int32)
+        begins = np.zeros((langs, len(owner), min(MEET, int(size[0]))), bool)
         table, shift = self.model.table, SIGNS.bit_length() - 1
         for t in range(size[0]):
             n = active[t]
@@ -194,10 +199,44 @@ class Parser:
             got = table[(state[:, :n] << shift) + sign]
             counts[:, :n] += got & 1
             state[:, :n] = got >> 1
+            if t < MEET:
+                begins[:, :n, t] = got & 1
         for k in range(langs):
             total[k] = np.bincount(owner, counts[k], len(texts)).astype(np.int64)
+        # segments that go on a text, and the segments before them
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(nth > 0)
+        here, before = place[later], place[later - 1]
+        if not len(here):
+            return total
+        now, more = state[:, before], np.zeros((langs, len(here)), np.int64)
+        met = np.zeros((langs, len(here)), bool)
+        for t in range(begins.shape[2]):
+            live = ~met & (t < size[here])
+            if not live.any():
+                break
+            got = table[(now << shift) + flat[np.minimum(start[here] + t, len(flat) - 1)].astype(np.int32)]
+            both = begins[:, here, t]
+            more += np.where(live, (got & 1) - both, 0)
+            met |= live & both & (got & 1 > 0)
+            now = got >> 1
+        for k in range(langs):
+            np.add.at(total[k], owner[here], more[k])
+            for text in np.unique(owner[here[~met[k] & (size[here] > MEET)]]).tolist():
+                total[k, text] = self.alone(k, texts[text])
         return total
 
+    def alone(self, lang: int, signs: np.ndarray) -> int:
+        """Phrases of one text, sign by sign."""
+        table, shift = self.model.table, SIGNS.bit_length() - 1
+        state, n = int(self.model.roots[lang]), 0
+        for c in signs.tolist():
+            got = int(table[(state << shift) + c])
+            n += got & 1
+            state = got >> 1
+        return n
+
 
 def decide(model: Model, phrases: np.ndarray, length: int) -> tuple[str, float, float]:
     """Language, score, and bits a sign of the best language, from one text's phrase counts."""
@@ -239,7 +278,7 @@ def _predict(broadcast):
     return run
 
 
-def _with_language(broadcast, columns: list[str], name: str):
+def _with_language(broadcast, at: int, name: str):
     """The rows as they are, and the language of each."""
     predict = _predict(broadcast)
 
@@ -249,7 +288,7 @@ def _with_language(broadcast, columns: list[str], name: str):
         def texts() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 held.append(batch)
-                text = batch.column(columns.index("text"))
+                text = batch.column(at)
                 yield pa.record_batch([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
 
         for made in predict(texts()):
@@ -261,7 +300,8 @@ def _with_language(broadcast, columns: list[str], name: str):
 
 def predict_column(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """docs, all columns, with the predicted language as a further last column."""
-    run = _with_language(docs.sparkSession.sparkContext.broadcast(model), docs.columns, name)
+    own_columns(docs, "text")
+    run = _with_language(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(column_of(docs, "text")), name)
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
@@ -270,7 +310,7 @@ def sample(docs: DataFrame, rows: int = 60, window: int = 2_000) -> dict[str, li
 
     docs: doc_id, text, lang.  Two jobs read the table: counts by language, then the chosen rows.
     """
-    key = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
+    key = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30))
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", key.alias("key"))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -278,13 +318,21 @@ def sample(docs: DataFrame, rows: int = 60, window: int = 2_000) -> dict[str, li
     # half as many again as are wanted, so that chance leaves enough
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * rows + 20) / n))])
     spare = F.greatest(F.length("text") - window, F.lit(0)) + 1
-    chosen = labelled.where(F.col("key") < share[F.col("lang")] * float(1 << 30)).select(
-        "lang", "key", F.substring("text", (F.pmod(F.col("key"), spare) + 1).cast("int"), F.lit(window)).alias("text")
-    )
+    windows = labelled.select("lang", "key", F.substring("text", (F.pmod(F.col("key"), spare) + 1).cast("int"), F.lit(window)).alias("text"))
+    first = Window.partitionBy("lang").orderBy("key", "text")
     out: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.collect():
-        out.setdefault(r.lang, []).append((r.key, r.text))
-    return {k: [t for _, t in sorted(v)[:rows]] for k, v in out.items()}
+
+    def gather(rows_of: DataFrame) -> None:
+        for r in rows_of.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).collect():
+            out.setdefault(r.lang, []).append((r.key, r.text))
+
+    gather(windows.where(F.col("key") < share[F.col("lang")] * float(1 << 30)))
+    # rows that repeat share a hash, so chance may have left a language too few
+    if few := [k for k, n in counts.items() if len(out.get(k, [])) < min(rows, n)]:
+        for k in few:
+            out.pop(k, None)
+        gather(windows.where(F.col("lang").isin(few)))
+    return {k: [t for _, t in sorted(v)] for k, v in sorted(out.items())}
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,7 +343,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(docs: DataFrame, hold_out: bool = True, rows: int = 60, window: int = 2_000, chars: int = 30_000) -> Model:
     """A model of the labelled rows; hold_out: only of those whose crc32 of doc_id modulo 3 is not 1."""
-    docs = own_columns(docs, "doc_id", "text", "lang").select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    docs = own_columns(docs, "doc_id", "text", "lang", optional=("lang",)).select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
     return fit(sample(docs.where(crc_mod(F.col("doc_id"), 3) != 1) if hold_out else docs, rows, window), chars)
 
 

@@ -1,9 +1,11 @@
 """Language ID: automata against plain search, the parallel parser against the automata, held-out accuracy."""
 
+import math
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftspark.llm import lang_id
 
@@ -43,8 +45,47 @@ def test_parser_counts_like_the_automata():
         automaton = lang_id.SuffixAutomaton([place.get(c, 1) for c in lang_id.normal(samples[lang][0])])
         for i, text in enumerate(texts):
             signs = [place.get(c, 1) for c in lang_id.normal(text)]
-            want = sum(automaton.phrases(signs[a : a + lang_id.SEGMENT]) for a in range(0, len(signs), lang_id.SEGMENT))
-            assert counts[k, i] == want
+            assert counts[k, i] == automaton.phrases(signs)
+
+
+@pytest.mark.parametrize("segment, meet", [(16, 4), (50, 20), (300, 256)])
+def test_counts_do_not_depend_on_segments(monkeypatch, segment, meet):
+    monkeypatch.setattr(lang_id, "SEGMENT", segment)
+    monkeypatch.setattr(lang_id, "MEET", meet)
+    rnd = random.Random(segment)
+    samples = {k: ["".join(rnd.choice(c) for _ in range(400))] for k, c in (("x", "abc "), ("y", "bcd "), ("z", "ab"))}
+    model = lang_id.fit(samples)
+    parser = lang_id.Parser(model)
+    texts = ["".join(rnd.choice("abcd e") for _ in range(rnd.randint(0, 900))) for _ in range(60)] + ["ab" * 700, "a" * 999, "abc " * 300]
+    counts = parser.count([parser.encode(t) for t in texts])
+    place = {c: i + 2 for i, c in enumerate(model.letters)} | {" ": 0}
+    for k, lang in enumerate(model.langs):
+        automaton = lang_id.SuffixAutomaton([place.get(c, 1) for c in lang_id.normal(samples[lang][0])])
+        assert [automaton.phrases([place.get(c, 1) for c in lang_id.normal(t)]) for t in texts] == counts[k].tolist()
+
+
+def test_decisions_against_plain_parsing(spark):
+    """The whole operator, its sample at hand, against longest matches by substring search; ties go to the first language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500")
+    taken = lang_id.sample(docs.where(lang_id.crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
+    joined = {k: " ".join(filter(None, map(lang_id.normal, v)))[:30_000].rstrip() for k, v in taken.items()}
+    letters = lang_id.fit(taken).letters
+    fold = lambda t: "".join(c if c == " " or c in letters else "?" for c in lang_id.normal(t))
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify(docs).collect()}
+    for r in docs.limit(25).collect():
+        text = fold(r.text or "")
+        bits = [(plain_phrases(text, fold(joined[k])) * math.log2(max(2, len(joined[k]))), k) for k in sorted(joined)]
+        assert got[r.doc_id] == (min(bits)[1] if text.strip() else "und")
+    twins = [(1, "abc abd", "b", 0.0, ""), (2, "abc abd", "a", 0.0, ""), (3, "abd", None, 0.0, "")]
+    same = spark.createDataFrame(twins, DOCS)
+    assert {r.lang_pred for r in lang_id.identify(same, hold_out=False).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("ids", [None, 5])
+def test_rows_with_one_id_are_a_bounded_sample(spark, ids):
+    rows = [(ids, f"the cat number {i} sat on the mat", "en", 0.0, "") for i in range(500)] + [(ids, "le chat", "fr", 0.0, "")] * 300
+    got = lang_id.sample(spark.createDataFrame(rows, DOCS).select("doc_id", "text", "lang"), rows=60)
+    assert len(got["en"]) == 60 == len(got["fr"])
 
 
 def test_held_out_accuracy(spark):
