@@ -16,8 +16,8 @@ Two kinds of models:
   minus infinity if they don't; one path of score 0 is left, and it is the text's encoding.  Runs of blanks are the
   exception, as their pieces have one score and merge from the left: a run is encoded by its length and never cut.
 
-Words (what follows a blank, up to the next) are lattices of their own, since no piece reaches across their start;
-equal words are traced once in a task.
+Words (what follows a blank, up to the next) are lattices of their own, since no piece reaches across their start.
+The different words of a batch are searched together, place by place (``Batch``).
 
 Edge cases.  Null text: null ids, and null text when decoded.  Empty text: no ids.  Characters outside the
 vocabulary become bytes (BPE with byte fallback) or the unknown id.  Repeated rows each get their row.  A null doc_id
@@ -118,6 +118,143 @@ class Lattice:
         return out[::-1]
 
 
+class Table:
+    """Integer keys to small values, looked up many at a time: open addressing in numpy."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask, self.count = bits, (1 << bits) - 1, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -3, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, key: int, value: int) -> None:
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while self.values[at] != -3 and int(self.keys[at]) != key:
+            at = (at + 1) & self.mask
+        self.count += self.values[at] == -3
+        self.keys[at], self.values[at] = key, value
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -3 where there is none."""
+        at = self._place(keys)
+        out = self.values[at]
+        todo = np.flatnonzero((out != -3) & (self.keys[at] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            out[todo] = self.values[at[todo]]
+            todo = todo[(out[todo] != -3) & (self.keys[at[todo]] != keys[todo])]
+        return out
+
+
+#: Words that are searched together, and the longest of them.
+TOGETHER, LONG = 50_000, 60
+#: Bits of a piece's number, unknown characters (by code point) after the pieces.
+NUMBER = 21
+
+
+class Batch:
+    """Paths of many words at once: the candidates for a word's next piece are checked for all words, place by place."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.pieces = list(merges.scores)
+        number = {p: i for i, p in enumerate(self.pieces)}
+        self.lengths = np.array([len(p) for p in self.pieces] or [1])
+        prefixes = {p[:n]: -1 for p in self.pieces for n in range(1, len(p) + 1)} | number
+        self.prefixes = Table(max(16, (4 * len(prefixes)).bit_length()))
+        for p, i in prefixes.items():
+            h = 0
+            for c in p:
+                h = (h * 0xD6E8FEB86659FD93 + self._sign(ord(c))) & 0xFFFFFFFFFFFFFFFF
+            self.prefixes.put(h, i)
+        self.pairs = Table(21)
+
+    @staticmethod
+    def _sign(c):
+        return (c + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF
+
+    def text(self, piece: int) -> str:
+        return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
+
+    def size(self, pieces: np.ndarray) -> np.ndarray:
+        n = len(self.pieces)
+        return np.where(pieces < n, self.lengths[np.minimum(pieces, n - 1)], 1)
+
+    def candidates(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of all pieces that begin at each place; left: how many characters there are to the word's end."""
+        signs = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+        place, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        out = []
+        for n in range(1, self.merges.longest + 1):
+            h = h * np.uint64(0xD6E8FEB86659FD93) + signs[place + n - 1]
+            found = self.prefixes.get(h)
+            hit = found >= 0
+            if n == 1:
+                piece = np.where(hit, found, len(self.pieces) + code)
+                out.append((place, np.ones(len(place), np.int64), piece))
+            else:
+                out.append((place[hit], np.full(int(hit.sum()), n), found[hit]))
+            go = (found > -2) & (left[place] > n)
+            place, h = place[go], h[go]
+            if not len(place):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def stay(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether neighbours stay as they are; pairs not seen before are merged once."""
+        keys = (one.astype(np.uint64) << np.uint64(NUMBER)) | two.astype(np.uint64)
+        got = self.pairs.get(keys)
+        if (got == -3).any():
+            if self.pairs.count > self.pairs.mask // 2:
+                self.pairs = Table(self.pairs.bits)
+                return self.stay(one, two)
+            for key in np.unique(keys[got == -3]).tolist():
+                a, b = self.text(key >> NUMBER), self.text(key & ((1 << NUMBER) - 1))
+                self.pairs.put(key, int(self.merges.merged(a + b) == [a, b]))
+            got = self.pairs.get(keys)
+        return got > 0
+
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words (of at most LONG characters, with one leading blank at most), one after the other, and how many each has."""
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.array([len(w) for w in words])
+        start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        left = np.repeat(start + size, size) - np.arange(len(code))
+        place, length, piece = self.candidates(code, left)
+        # the last piece of the path to each boundary; a word has one boundary more than characters
+        first = start + np.arange(len(words))
+        begin = place + word[place]
+        end = begin + length
+        reach = end - first[word[place]]
+        order = np.argsort(reach, kind="stable")
+        begin, end, piece, reach = begin[order], end[order], piece[order], reach[order]
+        last = np.full(len(code) + len(words), -1)
+        last[first] = -2
+        cuts = np.searchsorted(reach, np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            before = last[begin[a:b]]
+            good = before == -2
+            ask = np.flatnonzero(before >= 0)
+            good[ask] = self.stay(before[ask], piece[a:b][ask])
+            last[end[a:b][good]] = piece[a:b][good]
+        at, live, steps = first + size, np.arange(len(words)), []
+        live = live[size > 0]
+        count = np.zeros(len(words), np.int64)
+        while len(live):
+            p = last[at[live]]
+            steps.append((live, p))
+            count[live] += 1
+            at[live] -= self.size(p)
+            live = live[at[live] > first[live]]
+        out = np.empty(int(count.sum()), np.int64)
+        ends = np.cumsum(count)
+        for n, (rows, p) in enumerate(steps):
+            out[ends[rows] - 1 - n] = p
+        return out, count
+
+
 #: A state before the first and after the last character of a text.
 EDGE = (0, "")
 
@@ -343,7 +480,8 @@ class Codec:
         for byte, i in self.bytes.items():
             self.strings[i] = bytes([byte])
         self.strings[self.unknown] = " \u2047 ".encode()
-        self.known: dict[str, array] = {}
+        self.batch = Batch(self.merges)
+        self.numbers_of = np.array([self.ids[p] for p in self.batch.pieces] or [0], np.int32)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -362,17 +500,41 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str) -> array:
-        """The ids of a text that is one chunk."""
-        out, known = array("i"), self.known
-        for word in self.merges.words.findall(self.normal(text)):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = known[word] = self.numbers(self.merges.word(word))
-            out += ids
-        return out
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that are one chunk each, one after the other, and how many each has."""
+        place: dict[str, int] = {}
+        words, ends = array("q"), array("q")
+        for text in texts:
+            words.extend([place.setdefault(w, len(place)) for w in self.merges.words.findall(self.normal(text))])
+            ends.append(len(words))
+        flat, start, size = self._words(list(place))
+        at = np.frombuffer(words, np.int64)
+        each = size[at]
+        total = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[at] - total[:-1], each) + np.arange(total[-1])]
+        return ids, np.diff(total[np.frombuffer(ends, np.int64)], prepend=0)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where each one's begin and how many they are."""
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = [i for i, w in enumerate(words) if len(w) <= LONG and w != SPACE and w[:2] != SPACE * 2]
+        others = set(range(len(words))).difference(plain)
+        parts, at = [], 0
+        for a in range(0, len(plain), TOGETHER):
+            rows = np.array(plain[a : a + TOGETHER])
+            pieces, count = self.batch.paths([words[i] for i in rows.tolist()])
+            unknown = pieces >= len(self.numbers_of)
+            parts.append(self.numbers_of[np.where(unknown, 0, pieces)])
+            start[rows], size[rows] = at + np.cumsum(count) - count, count
+            at += len(pieces)
+            if unknown.any():  # unknown characters are bytes, so such words are put anew
+                others.update(rows[np.unique(np.repeat(np.arange(len(rows)), count)[unknown])].tolist())
+        for i in sorted(others):
+            ids = self.numbers(self.merges.word(words[i]))
+            parts.append(np.frombuffer(ids, np.int32))
+            start[i], size[i] = at, len(ids)
+            at += len(ids)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), start, size
 
     def decode(self, ids) -> str:
         """Unknown bytes as the replacement sign; the blank before the text goes."""
@@ -386,11 +548,8 @@ def _codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _lists(values: list[array | None]) -> pa.Array:
+def _lists(flat: np.ndarray, lengths: np.ndarray, missing: np.ndarray) -> pa.Array:
     """Lists of ids as an Arrow column."""
-    flat = np.frombuffer(b"".join(x.tobytes() for x in values if x is not None), np.int32)
-    lengths = np.array([0 if x is None else len(x) for x in values], np.int64)
-    missing = np.array([x is None for x in values], bool)
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(missing, False) if missing.any() else None)
     return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
@@ -405,8 +564,9 @@ def _encode(path: str):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [codec.encode(t.as_py()) if t.is_valid else None for t in batch.column("text")]
-                yield pa.record_batch([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+                texts = batch.column("text").to_pylist()
+                ids, count = codec.encode([t or "" for t in texts])
+                yield pa.record_batch([batch.column("doc_id"), _lists(ids, count, np.array([t is None for t in texts]))], ["doc_id", "ids"])
 
     return run
 
@@ -461,7 +621,8 @@ def _trace(path: str):
         for batch in batches:
             cols = [batch.column(n).to_pylist() for n in ("text", "low", "high", "s", "t")]
             ids = [codec.numbers(codec.merges.trace(*row)) for row in zip(*cols)]
-            yield pa.record_batch([*(batch.column(n) for n in ("doc_id", "digest", "copies", "k")), _lists(ids)], ["doc_id", "digest", "copies", "k", "ids"])
+            column = _lists(np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32), np.array([len(x) for x in ids], np.int64), np.zeros(len(ids), bool))
+            yield pa.record_batch([*(batch.column(n) for n in ("doc_id", "digest", "copies", "k")), column], ["doc_id", "digest", "copies", "k", "ids"])
 
     return run
 

@@ -57,10 +57,23 @@ def test_chunks_encode_like_the_library(size, library):
     for text in texts:
         want = library.encode(text)
         assert codec.numbers(codec.merges.encode(codec.normal(text), size)).tolist() == want, repr(text)
-        assert codec.encode(text).tolist() == want, repr(text)
+        assert codec.encode([text])[0].tolist() == want, repr(text)
         assert codec.decode(want) == library.decode(want), repr(text)
 
 
+def test_many_words_at_once():
+    """Each word's path against the merges themselves."""
+    codec = sp.Codec(piece_file())
+    rnd = random.Random(8)
+    words = ["▁"[: rnd.randint(0, 1)] + "".join(rnd.choice("etaoinshr,.日é") for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    words = [w for w in words if w != "▁"]
+    pieces, count = codec.batch.paths(words)
+    at = 0
+    for w, n in zip(words, count.tolist()):
+        assert [codec.batch.text(p) for p in pieces[at : at + n].tolist()] == codec.merges.merged(w)
+        at += n
+
+
 def test_neighbours_that_stay_make_a_path_and_only_one():
     """Of all ways to part a word, those whose neighbours all stay are the merges' own."""
     rnd = random.Random(3)
