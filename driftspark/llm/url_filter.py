@@ -8,7 +8,8 @@ by the mean over their characters of the difference of the two models' log-likel
 Calibration.  A tenth of the decided URLs, by a hash of their text, is left out of the counts; the threshold
 is the value that gives the least balanced error on them.
 
-Scale.  Only distinct five-sign strings are scored, by joins of count tables of the same kind; the pages'
+Scale.  The counts are made once and kept as a shared table, as are the scores of all distinct URLs that need one.
+Only distinct five-sign strings are scored, by joins of count tables of the same kind; the pages'
 strings meet those scores in one equality join, whose hot strings are split as skew.  Signs are the printable
 ASCII characters and one for all others, so the order-0 table (at most 97 rows) may go through the driver,
 and so may the histogram of calibration scores (at most 4,001 rows).  Nothing else does.
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import own_columns
+from driftspark.llm.common import Scratch, own_columns
 
 #: host, path start, verdict
 RULES = (
@@ -103,9 +104,9 @@ def _ratio(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return out.select("gram", (F.ln("good") - F.ln("bad")).cast("decimal(20,12)").alias("ratio"))
 
 
-def _scores(scored: DataFrame, counts: DataFrame) -> DataFrame:
+def _scores(keys: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, score) for distinct keys: mean ratio over the key's characters."""
-    grams = _grams(scored.select("key").distinct(), "key")
+    grams = _grams(keys, "key")
     ratio = _ratio(grams.select("gram").distinct(), counts)
     total = grams.join(ratio, "gram").groupBy("key").agg(F.sum("ratio").alias("total"))
     return total.select("key", F.round(F.col("total").cast("double") / (F.length("key") + 1), 9).alias("score"))
@@ -140,13 +141,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     if not all(has):
         return pages.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     held = decided.where("held")
+    scratch = Scratch(pages.sparkSession, "urls")
+    counts = scratch.put(counts)
+    scores = scratch.put(_scores(held.select("key").union(pages.where("by_rule is null").select("key")).distinct(), counts))
     step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-SPAN)), F.lit(SPAN)) * (STEPS / SPAN))
-    steps = held.join(_scores(held, counts), "key").groupBy(step.alias("step")).agg(F.sum(is_good).alias("good"), F.sum(1 - is_good).alias("bad"))
+    steps = held.join(scores, "key").groupBy(step.alias("step")).agg(F.sum(is_good).alias("good"), F.sum(1 - is_good).alias("bad"))
     edge = threshold([tuple(r) for r in steps.collect()])
-    scores = _scores(pages.where("by_rule is null"), counts)
-    out = pages.withColumn("key", F.when(F.col("by_rule").isNull(), F.col("key"))).join(scores, "key", "left")
     judged = F.when(F.col("score") < edge, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", judged).alias("verdict"), "score")
+    rest = pages.where("by_rule is null").join(scores, "key").select("page_id", "host", "path", "rule", judged.alias("verdict"), "score")
+    ruled = pages.where("by_rule is not null").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return ruled.union(rest)
 
 
 def brute_force(urls: list[tuple[str, str]], undecided: list[str]) -> list[float]:
