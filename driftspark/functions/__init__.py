@@ -18,10 +18,15 @@ def bin_of(x, origin: float, width: float) -> Column:
 
 
 def within(x, low: float, high: float) -> Column:
-    """Half-open range."""
+    """Half-open range, as bins are."""
     return (c(x) >= low) & (c(x) < high)
 
 
+def between(x, low: float, high: float) -> Column:
+    """A range with both its ends, as selections are."""
+    return (c(x) >= low) & (c(x) <= high)
+
+
 def has_status(statuses: list[int], column: str = "status") -> Column:
     """An empty list selects all."""
     return F.col(column).isin(statuses) if statuses else F.lit(True)
@@ -40,8 +45,9 @@ def near_surface(z, tide, height: float) -> Column:
 
 
 def uniform(seed: int, *keys) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys alone, however rows are dealt."""
-    return F.pmod(F.xxhash64(F.lit(seed), *map(c, keys)), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) that depends on the seed and the keys alone, however rows are dealt: 52 bits of an MD5 digest."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c(k).cast("string") for k in keys])
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(13)), 16, 10).cast("long") / float(1 << 52)
 
 
 def normal(seed: int, *keys) -> Column:
@@ -65,9 +71,15 @@ def decay(age_, start: float = 1.0, scale: float = 86400.0, sign: int = -1) -> C
 
 
 def total_depth(tide, depth) -> Column:
+    """At a particle."""
     return F.abs(c(tide) + c(depth))
 
 
+def total_depth_field(tide, depth, least: float = 0.25) -> Column:
+    """At a node: never less than the least depth."""
+    return F.greatest(c(tide) + c(depth), F.lit(least))
+
+
 def fractional_depth(z, tide, depth, least: float = 0.25) -> Column:
     total = total_depth(tide, depth)
     return F.when(total < least, 0.0).otherwise((c(depth) + c(z)) / F.greatest(total, F.lit(least)))

@@ -1,30 +1,20 @@
-"""Movement: Runge-Kutta steps, velocity modifiers, status changes, and the kernel that takes many steps at once.
+"""Movement as expressions and joins: Runge-Kutta steps, velocity modifiers, status changes.
 
-Particles don't meet, so a partition of them is stepped on its own: no shuffle between steps.  The kernel walks
-a particle from cell to cell, so that it stops at the first closed edge on its way.  It needs a block of the
-mesh and of some steps of the field, which goes out as a broadcast if it is at most ``BLOCK_MB``; larger fields
-are stepped by joins (``step_by_joins``), which hold nothing but rows.
+The kernel that takes many steps at once is in ``kernel``; what it does to a particle, these say for a row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark import enums
 from driftspark.functions import bernoulli, c, normal
+from driftspark.operators.kernel import STATE, Block, Rules, field_block, step_block  # noqa: F401
 from driftspark.operators.spatial import interpolate, locate
-from driftspark.session import ship
-
-#: A field block larger than this is not broadcast.
-BLOCK_MB = 200
-TOLERANCE, MAX_WALK = 1e-3, 500
 
 
 # -- expressions
@@ -127,164 +117,13 @@ def rheotaxis(u, v, speed: float, concentration: float, seed: int, *keys) -> tup
     return speed * F.cos(heading), speed * F.sin(heading)
 
 
-# -- the kernel
-
-@dataclass
-class Block:
-    """A mesh and some steps of a 2-D velocity field on it: u, v by (step, node); first: the first step's number."""
-
-    x: np.ndarray
-    y: np.ndarray
-    tri: np.ndarray
-    adjacency: np.ndarray
-    u: np.ndarray
-    v: np.ndarray
-    first: int
-    dt: float
-    dry: np.ndarray | None = None
-
-    def __post_init__(self):
-        (x0, x1, x2), (y0, y1, y2) = self.x[self.tri].T, self.y[self.tri].T
-        det = (x0 - x2) * (y1 - y2) - (x1 - x2) * (y0 - y2)
-        self.t = np.stack([(y1 - y2) / det, (x2 - x1) / det, (y2 - y0) / det, (x0 - x2) / det, x2, y2])
-
-    def barycentric(self, cell: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        t = self.t[:, cell]
-        b0 = t[0] * (x - t[4]) + t[1] * (y - t[5])
-        b1 = t[2] * (x - t[4]) + t[3] * (y - t[5])
-        return np.stack([b0, b1, 1 - b0 - b1])
-
-    def walk(self, cell: np.ndarray, x: np.ndarray, y: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From each cell across the face of the smallest coordinate until inside: cell, coordinates, search status."""
-        cell = cell.copy()
-        status = np.where(np.isfinite(x) & np.isfinite(y), enums.CELL_OK, enums.BAD_COORD)
-        b = self.barycentric(cell, x, y)
-        todo = np.flatnonzero((status == enums.CELL_OK) & (b.min(0) <= -TOLERANCE))
-        for _ in range(MAX_WALK):
-            if not len(todo):
-                break
-            face = b[:, todo].argmin(0)
-            ahead = self.adjacency[cell[todo], face]
-            dry = np.zeros(len(todo), bool) if self.dry is None else (ahead >= 0) & (self.dry[step, np.maximum(ahead, 0)] > 128)
-            status[todo] = np.where(ahead == enums.OPEN_EDGE, enums.HIT_OPEN, np.where(ahead < 0, enums.HIT_DOMAIN, np.where(dry, enums.HIT_DRY, enums.CELL_OK)))
-            go = (ahead >= 0) & ~dry
-            todo = todo[go]
-            cell[todo] = ahead[go]
-            b[:, todo] = self.barycentric(cell[todo], x[todo], y[todo])
-            todo = todo[b[:, todo].min(0) <= -TOLERANCE]
-        else:
-            status[todo] = enums.FAILED
-        return cell, b, status
-
-    def velocity(self, cell: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """Linear in space and in time; t in steps from the block's first."""
-        k = min(int(math.floor(t)), len(self.u) - 2)
-        s = t - k
-        nodes = self.tri[cell].T
-        return tuple(((1 - s) * (b * f[k][nodes]).sum(0) + s * (b * f[k + 1][nodes]).sum(0)) for f in (self.u, self.v))
-
-    def advance(self, cell, x, y, status, steps: int, per_field: float, order: int = 4, use_open: bool = False, spread: float = 0.0, ids=None, seed: int = 0, starts=0, offset: float = 0.0, step0: int = 0):
-        """Yields cell, x, y, status after each step.
-
-        per_field: steps of the field in one step; negative: backwards from the block's end.  starts: before which
-        step (from 0) each particle waits where it is; offset: the first step's time in the block; step0: its number,
-        which random numbers depend on.
-        """
-        dt = self.dt * per_field
-        t = offset if per_field > 0 else float(len(self.u) - 1) - offset
-        for n in range(steps):
-            moving = np.flatnonzero((status == enums.MOVING) & (starts <= n))
-            cx, px, py = cell[moving], x[moving], y[moving]
-
-            def speed(qx, qy, at, cx=cx):
-                near, b, found = self.walk(cx, qx, qy, min(int(at), len(self.u) - 1))
-                good = found == enums.CELL_OK
-                # beyond an edge the coordinates of the last cell on the way are held inside it
-                b = np.where(good, b, np.clip(b, 0, 1))
-                return self.velocity(near, b / b.sum(0), at)
-
-            k = [speed(px, py, t)]
-            for part in {1: (), 2: (0.5,), 4: (0.5, 0.5, 1.0)}[order]:
-                k.append(speed(px + part * dt * k[-1][0], py + part * dt * k[-1][1], t + part * per_field))
-            weights = {1: (1,), 2: (0, 1), 4: (1 / 6, 1 / 3, 1 / 3, 1 / 6)}[order]
-            du, dv = (sum(w * q[i] for w, q in zip(weights, k)) for i in (0, 1))
-            if spread:
-                std = math.sqrt(2 * abs(dt) * spread) / abs(dt)
-                a, b2 = _normals(seed, step0 + n, ids[moving])
-                du, dv = du + std * a, dv + std * b2
-            nx, ny = px + dt * du, py + dt * dv
-            t += per_field
-            near, _, found = self.walk(cx, nx, ny, min(max(int(t), 0), len(self.u) - 1))
-            out = (found == enums.HIT_OPEN) & use_open
-            good = (found == enums.CELL_OK) | out
-            x, y, cell, status = x.copy(), y.copy(), cell.copy(), status.copy()
-            x[moving], y[moving] = np.where(good, nx, px), np.where(good, ny, py)
-            cell[moving] = np.where(found == enums.CELL_OK, near, cx)
-            status[moving] = np.where(out, enums.OUTSIDE_OPEN, status[moving])
-            yield cell, x, y, status
-
-
-def _normals(seed: int, step: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two normal numbers that depend on the seed, the step and the id alone."""
-    with np.errstate(over="ignore"):
-        h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + step) & 0xFFFFFFFF)
-        u = []
-        for k in (1, 2):
-            g = h + np.uint64(k) * np.uint64(0xD1B54A32D192ED03)
-            g = (g ^ (g >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            u.append((((g ^ (g >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53))
-    r = np.sqrt(-2 * np.log(u[0]))
-    return r * np.cos(2 * np.pi * u[1]), r * np.sin(2 * np.pi * u[1])
-
-
-STATE = "id long, nt long, tri long, x double, y double, status long"
-
-
-def _stepped(broadcast, steps: int, per_field: float, every: int, base: int, how: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = broadcast.value
-        for batch in batches:
-            get = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            ids, starts = get["id"].astype(np.int64), get["nt"].astype(np.int64) - base
-            now = (get["tri"].astype(np.int64), get["x"].astype(float), get["y"].astype(float), get["status"].astype(np.int64))
-            for n, now in enumerate(block.advance(*now, steps, per_field, ids=ids, starts=starts, step0=base, **how), 1):  # noqa: B020
-                there = starts < n
-                if (n % every == 0 or n == steps) and there.any():
-                    rows = (ids, np.full(len(ids), base + n), *now)
-                    yield pa.record_batch([pa.array(v[there]) for v in rows], ["id", "nt", "tri", "x", "y", "status"])
-
-    return run
-
-
-def field_block(node: DataFrame, tri: DataFrame, adj: DataFrame, field: DataFrame, first: int, last: int, dt: float) -> Block | None:
-    """Mesh and steps first to last of a field (nt, node, u, v) as arrays; None if they take more than BLOCK_MB."""
-    nodes, cells = node.count(), tri.count()
-    if (nodes * (2 * (last - first + 1) + 2) * 8 + cells * 48) / 1e6 > BLOCK_MB:
-        return None
-    n = node.orderBy("node").toPandas()
-    t = tri.join(adj, "tri").orderBy("tri").toPandas()
-    f = field.where(F.col("nt").between(first, last)).orderBy("nt", "node").toPandas()
-    u, v = (f[k].to_numpy(float).reshape(last - first + 1, nodes) for k in ("u", "v"))
-    return Block(n.x.to_numpy(float), n.y.to_numpy(float), t[["n0", "n1", "n2"]].to_numpy(np.int64), t[["adj0", "adj1", "adj2"]].to_numpy(np.int64), u, v, first, dt)
-
-
-def step_block(state: DataFrame, block: Block, steps: int, per_field: float = 1.0, every: int = 1, base: int = 0, **how) -> DataFrame:
-    """States (STATE) of all particles after each ``every`` steps and after the last, counted from step ``base``.
-
-    A particle's nt is the step at which it begins; rows come for later steps only.
-    how: order, use_open, spread, seed and offset of Block.advance().
-    """
-    ship(state.sparkSession)
-    sent = state.sparkSession.sparkContext.broadcast(block)
-    return state.select("id", "nt", "tri", "x", "y", "status").mapInArrow(_stepped(sent, steps, per_field, every, base, how), STATE)
-
+# -- by joins
 
-def step_by_joins(state: DataFrame, triangles: DataFrame, field: DataFrame, dt: float, size: float, order: int = 4) -> DataFrame:
+def step_by_joins(state: DataFrame, triangles: DataFrame, field: DataFrame, dt: float, size: float, order: int = 4, per_field: float = 1.0) -> DataFrame:
     """One step of all moving particles by joins alone, for fields too large to send: (id, nt, x, y, status).
 
-    triangles: corners(); field: (nt, node, u, v); dt: seconds of a step, which is one of the field's.  Particles
-    that leave the mesh on the way stay where they were.
+    triangles: corners(); field: (nt, node, u, v); dt: seconds of a step, which is per_field steps of the field's; nt: in
+    the field's steps.  Particles that leave the mesh on the way stay where they were.
     """
 
     def velocity(at: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -302,7 +141,7 @@ def step_by_joins(state: DataFrame, triangles: DataFrame, field: DataFrame, dt:
     at = go.select("*", F.col("px").alias("x"), F.col("py").alias("y"), F.col("nt").cast("double").alias("t"))
     go = go.join(velocity(at, ("u0", "v0")), "id")
     for k, part in enumerate(parts, 1):
-        at = go.select("id", (F.col("px") + part * dt * F.col(f"u{k - 1}")).alias("x"), (F.col("py") + part * dt * F.col(f"v{k - 1}")).alias("y"), (F.col("nt") + part).alias("t"))
+        at = go.select("id", (F.col("px") + part * dt * F.col(f"u{k - 1}")).alias("x"), (F.col("py") + part * dt * F.col(f"v{k - 1}")).alias("y"), (F.col("nt") + part * per_field).alias("t"))
         go = go.join(velocity(at, (f"u{k}", f"v{k}")), "id")
     move = [sum((w * F.col(f"{a}{k}") for k, w in enumerate(weights)), F.lit(0.0)) * dt for a in "uv"]
     moved = go.select("id", (F.col("px") + move[0]).alias("x"), (F.col("py") + move[1]).alias("y"))

@@ -38,12 +38,11 @@ def residence(obs: DataFrame, inside: Column, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("ins").alias("exposure"), F.sum(first).alias("residence"))
 
 
-def distance(obs: DataFrame, x: str = "x", y: str = "y", per: int = 1000) -> DataFrame:
-    """Running horizontal distance; steps count in whole parts of 1 / per, so that sums don't depend on their order."""
+def distance(obs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Running horizontal distance."""
     dx, dy = (F.col(v) - F.lag(v).over(by_particle()) for v in (x, y))
-    step = F.coalesce(F.round(F.sqrt(dx * dx + dy * dy), 6).cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
-    rows = obs.withColumn("step", F.round(step * per).cast("long"))
-    return rows.withColumn("distance", F.sum("step").over(by_particle().rowsBetween(Window.unboundedPreceding, 0)) / per).drop("step")
+    rows = obs.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
+    return rows.withColumn("distance", F.sum("step").over(by_particle().rowsBetween(Window.unboundedPreceding, 0))).drop("step")
 
 
 def time_at_status(obs: DataFrame, status: int) -> DataFrame:

@@ -11,13 +11,17 @@ from driftspark.operators.mesh import numbered
 from driftspark.operators.spatial import inside, polygon_edges
 
 
-def interval_schedule(spark: SparkSession, start: float, end: float, dt: float, interval: float | None) -> DataFrame:
-    """(nt, time_sec): each interval, rounded to whole steps (at least one), from start to end; 0: once; None: each step."""
-    last = int(abs(end - start) / dt)
+def interval_steps(start: float, end: float, dt: float, interval: float | None) -> range:
+    """The steps of each interval, rounded to whole steps (at least one), from start to end; 0: once; None: each step."""
     every = 1 if interval is None else max(1, round(interval / dt))
-    steps = spark.range(1) if interval == 0 else spark.range(0, last + 1, every)
-    sign = 1 if end >= start else -1
-    return steps.select(F.col("id").alias("nt"), (F.col("id") * float(sign * dt) + float(start)).alias("time_sec"))
+    return range(1) if interval == 0 else range(0, int(abs(end - start) / dt) + 1, every)
+
+
+def interval_schedule(spark: SparkSession, start: float, end: float, dt: float, interval: float | None) -> DataFrame:
+    """(nt, time_sec) of interval_steps()."""
+    steps, sign = interval_steps(start, end, dt, interval), 1 if end >= start else -1
+    rows = spark.range(steps.start, steps.stop, steps.step)
+    return rows.select(F.col("id").alias("nt"), (F.col("id") * float(sign * dt) + float(start)).alias("time_sec"))
 
 
 def nearest_step(t, start: float, dt: float) -> Column:
@@ -29,13 +33,15 @@ def flag_step(t, start: float, dt: float) -> Column:
     return F.floor(F.abs(c(t) - start) / dt).cast("long")
 
 
-def pulses(points: DataFrame, schedule: DataFrame, pulse_size: int) -> DataFrame:
-    """Each point (grp, pt, x, y, z) pulse_size times at each scheduled step.
+def pulses(points: DataFrame, steps: range, pulse_size: int, first: int = 0) -> DataFrame:
+    """Each point (grp, pt, x, y, z) pulse_size times at each scheduled step, counted from first.
 
-    Both sides are a group's parameters, not data; their product is the particles to release.
+    Steps and copies are sequences that each point explodes, so that there is no join.
     """
-    whole = points.join(F.broadcast(schedule.select("nt", "time_sec").limit(100_000)), F.lit(True)) if schedule.count() <= 100_000 else points.crossJoin(schedule)
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(pulse_size - 1)))).withColumn("pulse", F.col("nt"))
+    if not len(steps):
+        return points.limit(0).withColumn("nt", F.lit(0).cast("long")).withColumn("copy", F.lit(0)).withColumn("pulse", F.lit(0).cast("long"))
+    nt = F.explode(F.sequence(*[F.lit(v).cast("long") for v in (first, first + steps[-1], steps.step)]))
+    return points.withColumn("nt", nt).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(pulse_size - 1)))).withColumn("pulse", F.col("nt"))
 
 
 def grid_points(spark: SparkSession, rows: int, cols: int, span_x: float, span_y: float, cx: float, cy: float) -> DataFrame:

@@ -9,12 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.functions import alive, bin_of, within
-
-
-def exact_sum(x) -> Column:
-    """A sum that doesn't depend on the order of addition, as a double."""
-    return F.sum(F.col(x).cast("decimal(18,4)") if isinstance(x, str) else x.cast("decimal(18,4)")).cast("double")
+from driftspark.functions import alive, bin_of, degrees_per_metre, within
 
 
 def gridded(obs: DataFrame, keys: list[Column | str], x: tuple, y: tuple, z: tuple | None = None, props: list[str] = (), where: Column | None = None) -> DataFrame:
@@ -24,7 +19,8 @@ def gridded(obs: DataFrame, keys: list[Column | str], x: tuple, y: tuple, z: tup
     for col, start, width, n in axes.values():
         rows = rows.where(within(col, start, start + width * n))
     cells = [bin_of(col, start, width).alias(name) for name, (col, start, width, _) in axes.items()]
-    sums = [s for p in props for s in (exact_sum(p).alias(f"sum_{p}"), F.try_divide(exact_sum(p), F.count(p)).alias(f"mean_{p}"))]
+    total = lambda p: F.sum(F.col(p).cast("double"))
+    sums = [s for p in props for s in (total(p).alias(f"sum_{p}"), F.try_divide(total(p), F.count(p)).alias(f"mean_{p}"))]
     return rows.groupBy(*keys, *cells).agg(F.count("*").alias("n"), *sums)
 
 
@@ -60,6 +56,17 @@ def centred(obs: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return obs.join(mid, group).select(obs["*"], (F.col(x) - F.col(f"mid_{x}")).alias(f"d{x}"), (F.col(y) - F.col(f"mid_{y}")).alias(f"d{y}"))
 
 
+def cell_sizes(cells: DataFrame, x: tuple, y: tuple, z: tuple | None = None, geographic: bool = False, mode: str = "reference") -> DataFrame:
+    """cells (r, c) with the area of each, in square metres (axes in degrees if geographic), and the volume of a layer's cell."""
+    area = F.lit(float(x[2] * y[2]))
+    if geographic:
+        middle = y[1] + (F.col("r") + 0.5) * y[2]
+        per_x, per_y = degrees_per_metre(middle, mode)
+        area = F.abs(F.lit(float(x[2])) / per_x * F.lit(float(y[2])) / per_y)
+    out = cells.withColumn("area", area)
+    return out.withColumn("volume", F.col("area") * float(z[2])) if z else out
+
+
 def limits(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(*[f(v).alias(f"{n}_{v}") for v in columns for n, f in (("min", F.min), ("max", F.max))])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftspark import functions as fn
 from driftspark.operators import dynamics, fields, mesh, release, spatial, stats
-from driftspark.plans.registry import query, r6, s6
+from driftspark.plans.registry import normal_sql, query, quoted, r6, random_sql, s6
 from driftspark.sources import points
 
 ROWS, COLS = 12, 15
@@ -292,7 +292,7 @@ PULSES = """(select n.i * 2 as nt, g.i as grp, p.i as pt, k.i as copy, cast(10.0
 def released(spark):
     pt = spark.range(6).select((F.col("id") % 2).alias("grp"), F.floor(F.col("id") / 2).alias("pt"))
     pt = pt.select("grp", "pt", (10.0 * F.col("pt")).alias("x"), (5.0 * F.col("grp")).alias("y"))
-    return release.pulses(pt, release.interval_schedule(spark, 0.0, 3600.0 * 11, 3600.0, 7200.0), 4)
+    return release.pulses(pt, release.interval_steps(0.0, 3600.0 * 11, 3600.0, 7200.0), 4)
 
 
 @query(f"select nt, grp, pt, cast(copy as integer) as copy, x, y from {PULSES}")
@@ -319,26 +319,46 @@ def vertical_release(spark, sf):
 
 
 @query(f"select id, {s6('cos(radians(y)) / 111000.0 * 1e6')} as px, {s6('1 / 111000.0 * 1e6')} as py, {s6('1 / (111000.0 * cos(radians(y))) * 1e6')} as cx from {PTS}")
-def cell_area(spark, sf):
+def degrees_per_metre(spark, sf):
     """Degrees a million metres span, with the cosine as the reference has it and as it should be."""
     px, py = fn.degrees_per_metre("y")
     return pts(spark, sf).select("id", r6(px * 1e6).alias("px"), r6(py * 1e6).alias("py"), r6(fn.degrees_per_metre("y", "corrected")[0] * 1e6).alias("cx"))
 
 
-@query("select r, c, cast(val as double) as val from " + GRID + " where c >= 4")
+@query(f"select i // 8 as r, i % 8 as c, cast(1000 as double) as area, cast(2500 as double) as volume, {s6('50.0 * (111.0 / cos(radians(10 + (i // 8) * 20.0))) * 20.0 * 111.0')} as geo_km2 from range(32) t(i)")
+def cell_area(spark, sf):
+    """Areas and volumes of a statistic's cells, in metres and in degrees."""
+    cells = spark.range(32).select(F.floor(F.col("id") / 8).alias("r"), (F.col("id") % 8).alias("c"))
+    out = stats.cell_sizes(cells, ("x", 0, 50.0, 8), ("y", 0, 20.0, 5), ("z", -10, 2.5, 4))
+    geo = stats.cell_sizes(cells, ("x", 0, 50.0, 8), ("y", 0, 20.0, 5), geographic=True).withColumn("geo_km2", F.col("area") / 1e6).drop("area")
+    return out.join(geo, ["r", "c"]).select("r", "c", "area", "volume", r6(F.col("geo_km2")).alias("geo_km2"))
+
+
+@query("select r, c, cast(case when c >= 5 then c * 40 - 360 + 360 else c * 40 end as double) as x from " + GRID)
 def lon_across_180(spark, sf):
-    g = grid(spark).withColumn("x", F.when(F.col("c") >= 4, F.col("c") * 40 - 320).otherwise(F.col("c") * 40).cast("double"))
-    return mesh.across_180(g).where("x >= 160").select("r", "c", "val")
+    g = grid(spark).withColumn("x", F.when(F.col("c") >= 5, F.col("c") * 40 - 360).otherwise(F.col("c") * 40).cast("double"))
+    return mesh.across_180(g).select("r", "c", "x")
+
+
+H = "(1e-3 * 60.0)"
+GAIN, TURN = f"(1 - {H} * {H} / 2 + power({H}, 4) / 24)", f"({H} - power({H}, 3) / 6)"
+RING = f"(select id, x - 7.0 as dx, y - 5.5 as dy from {PTS} where (x - 7.0) * (x - 7.0) + (y - 5.5) * (y - 5.5) < 25)"
 
 
-@query()
+@query(f"""with n as (select cast(i * 10 as bigint) as nt from range(1, 7) t(i)), g as (select sqrt({GAIN} * {GAIN} + {TURN} * {TURN}) as r, atan2({TURN}, {GAIN}) as a)
+  select id, nt, floor((7.0 + power(r, nt) * (cos(nt * a) * dx - sin(nt * a) * dy)) * 1e6 + 0.5) / 1e6 as x, floor((5.5 + power(r, nt) * (sin(nt * a) * dx + cos(nt * a) * dy)) * 1e6 + 0.5) / 1e6 as y,
+    cast(10 as bigint) as status from {RING}, n, g""")
 def circle_tracks(spark, sf):
-    """Particles carried around by a solid rotation on the lattice, by the kernel: every tenth of 60 steps."""
+    """Particles carried around by a solid rotation on the lattice, by the kernel: every tenth of 60 steps.
+
+    The steps of a linear field are powers of one matrix, which the SQL takes at once.
+    """
     node, _, tri = built(spark)
     field = node.select("node", (-(F.col("y") - 5.5) * 1e-3).alias("u"), ((F.col("x") - 7.0) * 1e-3).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(60).cast("long"))).alias("nt"))
     block = dynamics.field_block(node, tri.drop("cell"), mesh.adjacency(tri), field, 0, 60, 60.0)
-    start = located(spark, sf).select("id", F.lit(0).cast("long").alias("nt"), "tri", "x", "y", F.lit(10).cast("long").alias("status"))
-    return dynamics.step_block(start, block, 60, every=10)
+    near = located(spark, sf).where((F.col("x") - 7.0) * (F.col("x") - 7.0) + (F.col("y") - 5.5) * (F.col("y") - 5.5) < 25)
+    start = near.select("id", F.lit(0).cast("long").alias("nt"), "tri", "x", "y", F.lit(10).cast("long").alias("status"))
+    return dynamics.step_block(start, block, 60, every=10).select("id", "nt", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "status")
 
 
 @query(f"""with a as (select id, x, y from {LOC}), b as (select id, x + -0.001 * (y - 5.5) * 60 as x2, y + 0.001 * (x - 7.0) * 60 as y2, x, y from a)
@@ -351,15 +371,29 @@ def step_by_joins(spark, sf):
     return out.select("id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-@query()
+TRIES = f"(select i, 0 + 10 * {random_sql(42, '0', 'i', quoted('x'))} as x, 0 + 8 * {random_sql(42, '0', 'i', quoted('y'))} as y from range(2050) t(i))"
+
+
+@query(f"""with e as (select * from (values (0.0, 0.0, 10.0, 0.0), (10.0, 0.0, 5.0, 8.0), (5.0, 8.0, 0.0, 0.0)) e(x1, y1, x2, y2)),
+  h as (select i, x, y, count(*) as n from {TRIES} join e on y > least(y1, y2) and y <= greatest(y1, y2) and x <= greatest(x1, x2) and (x1 = x2 or x <= x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)) group by all)
+  select row_number() over (order by i) - 1 as pt, {s6('x')} as x, {s6('y')} as y from h where n % 2 = 1 qualify row_number() over (order by i) <= 500""")
 def polygon_release(spark, sf):
-    return release.polygon_points(spark, [(0, 0), (10, 0), (5, 8)], 500, 42)
+    p = release.polygon_points(spark, [(0, 0), (10, 0), (5, 8)], 500, 42)
+    return p.select("pt", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+WALK = f"sqrt(2 * 60.0 * 0.1) / 60.0"
 
 
-@query()
+@query(f"""with p as (select id, x + {WALK} * {normal_sql(5, 'id', '0', quoted('u'))} * 60 as x, y + {WALK} * {normal_sql(5, 'id', '0', quoted('v'))} * 60 as y,
+    cast(case when {random_sql(6, 'id', '0')} <= 0.1 then -5 else 10 end as bigint) as status, cast(100 as double) as age from {PTS})
+  select id, {s6('x')} as x, {s6('y')} as y, status, age, cast(null as bigint) as parent from p
+  union all select -1, {s6('x')}, {s6('y')}, status, cast(0 as double), id from p where status = 10 and {random_sql(8, 'id', '0')} <= 0.2""")
 def dispersed(spark, sf):
     """A random walk step, a cull and a split, all by hashes of the ids."""
     u, v = dynamics.random_walk(0.1, 60.0, 5, "id", F.lit(0))
     p = pts(spark, sf).select("id", (F.col("x") + u * 60).alias("x"), (F.col("y") + v * 60).alias("y"), F.lit(10).cast("long").alias("status"), F.lit(100.0).alias("age"))
     p = p.withColumn("status", dynamics.culled(0.1, 6, [10], 0).cast("long"))
-    return dynamics.split(p, 0.2, 8, [10], 0)
+    out = dynamics.split(p, 0.2, 8, [10], 0)
+    # a child's number is a hash; what it comes from says enough
+    return out.select(F.when(F.col("parent").isNull(), F.col("id")).otherwise(-1).cast("long").alias("id"), r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "status", "age", "parent")

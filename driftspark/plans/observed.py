@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspark import enums, functions as fn
 from driftspark.operators import events, spatial, stats
-from driftspark.plans.registry import AGED, OBS, T0, bin_sql, query, r6, s6
+from driftspark.plans.registry import AGED, OBS, T0, bin_sql, query, r6, random_sql, s6
 from driftspark.sources import aged, observations
 
 X, Y, Z = ("x", 0, 50, 8), ("y", 0, 20, 5), ("z", -10, 1, 10)
@@ -47,10 +47,10 @@ def grid2d_time(spark, sf):
     return stats.gridded(obs(spark, sf), [nt(), "grp"], X, Y, where=fn.has_status(STATUSES))
 
 
-@query(f"""select {NT_SQL} as nt, grp, {bin_sql('x', 0, 50)} as c, {bin_sql('y', 0, 20)} as r, {MEASURES}, cast(sum(cast(z as decimal(18,4))) as double) as sum_z,
-  {s6('cast(sum(cast(z as decimal(18,4))) as double) / count(z)')} as mean_z from {OBS} where status in (10, 6) and {IN_XY} group by all""")
+@query(f"""select {NT_SQL} as nt, grp, {bin_sql('x', 0, 50)} as c, {bin_sql('y', 0, 20)} as r, {MEASURES}, {s6('sum(z)')} as sum_z,
+  {s6('sum(z) / count(z)')} as mean_z from {OBS} where status in (10, 6) and {IN_XY} group by all""")
 def grid2d_time_mean(spark, sf):
-    return stats.gridded(obs(spark, sf), [nt(), "grp"], X, Y, props=["z"], where=fn.has_status(STATUSES)).withColumn("mean_z", r6(F.col("mean_z")))
+    return stats.gridded(obs(spark, sf), [nt(), "grp"], X, Y, props=["z"], where=fn.has_status(STATUSES)).withColumn("mean_z", r6(F.col("mean_z"))).withColumn("sum_z", r6(F.col("sum_z")))
 
 
 @query(f"""with u as (select {NT_SQL} as nu, grp from {OBS} where status = 10), s as (select ceil(min(nu) / 3.0) as a, floor((max(nu) + 1) / 3.0) - 1 as b from u)
@@ -165,9 +165,9 @@ def depth_select(spark, sf):
     return obs(spark, sf).where(fn.within("z", -8, -2) & near).select("event_id", "z")
 
 
-@query(f"select event_id, x, t from {OBS} where x >= 100 and x < 250 and t >= {T0} and t < {T0 + 20 * DAY}")
+@query(f"select event_id, x, t from {OBS} where x between 100 and 250 and t between {T0} and {T0 + 20 * DAY}")
 def range_select(spark, sf):
-    return obs(spark, sf).where(fn.within("x", 100, 250) & fn.within("t", T0, T0 + 20 * DAY)).select("event_id", "x", "t")
+    return obs(spark, sf).where(fn.between("x", 100, 250) & fn.between("t", T0, T0 + 20 * DAY)).select("event_id", "x", "t")
 
 
 @query(f"select event_id, age from {AGED}")
@@ -180,11 +180,11 @@ def age_decay(spark, sf):
     return aged(obs(spark, sf)).select("event_id", r6(fn.decay("age", 1000.0, 7200.0)).alias("val"))
 
 
-@query(f"""with s as (select *, coalesce(cast(round(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 6) as decimal(20,6)), 0) as step from {OBS} window w as (partition by id order by t, event_id))
-  select event_id, {s6('cast(sum(cast(step * 100 as bigint)) over (partition by id order by t, event_id rows unbounded preceding) as double) / 100')} as distance from s""")
+@query(f"""with s as (select *, coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 0) as step from {OBS} window w as (partition by id order by t, event_id))
+  select event_id, floor((sum(step) over (partition by id order by t, event_id rows unbounded preceding)) * 1e4 + 0.5) / 1e4 as distance from s""")
 def distance_travelled(spark, sf):
-    rows = events.distance(obs(spark, sf), per=100)
-    return rows.select("event_id", r6(F.col("distance")).alias("distance"))
+    rows = events.distance(obs(spark, sf))
+    return rows.select("event_id", (F.floor(F.col("distance") * 1e4 + 0.5) / 1e4).alias("distance"))
 
 
 FRAC = "case when abs(y / 50.0 + x / 40.0) < 0.25 then 0.0 else (x / 40.0 + z) / greatest(abs(y / 50.0 + x / 40.0), 0.25) end"
@@ -195,9 +195,10 @@ def frac_depth(spark, sf):
     return obs(spark, sf).select("event_id", r6(fn.fractional_depth("z", F.col("y") / 50.0, F.col("x") / 40.0)).alias("frac"))
 
 
-@query(f"select event_id, {s6('abs(y / 50.0 + x / 40.0)')} as depth from {OBS}")
+@query(f"select event_id, {s6('abs(y / 50.0 + x / 40.0)')} as depth, {s6('greatest(y / 50.0 - x / 40.0, 0.25)')} as field from {OBS}")
 def total_depth(spark, sf):
-    return obs(spark, sf).select("event_id", r6(fn.total_depth(F.col("y") / 50.0, F.col("x") / 40.0)).alias("depth"))
+    clipped = fn.total_depth_field(F.col("y") / 50.0, -F.col("x") / 40.0)
+    return obs(spark, sf).select("event_id", r6(fn.total_depth(F.col("y") / 50.0, F.col("x") / 40.0)).alias("depth"), r6(clipped).alias("field"))
 
 
 @query(f"select event_id, {s6('sqrt(x * x + y * y)')} as speed from {OBS}")
@@ -246,12 +247,19 @@ def heatmap_slice(spark, sf):
     return cells.select("c", "r", F.nullif(F.col("sum_hit").cast("long"), F.lit(0).cast("long")).alias("n"))
 
 
-@query(f"select id, nt, x from {DAYS} where nt < 60")
+@query(f"""with d as (select * from {DAYS}), p as (select id, row_number() over (order by id) - 1 as place from (select distinct id from d)), n as (select unnest(generate_series(min(nt), max(nt))) as nt from d),
+  r as (select n.nt, list(d.x order by place) as x, list(coalesce(d.status, -10) order by place) as status from n, p left join d on d.id = p.id and d.nt = n.nt group by n.nt)
+  select nt, len(x) as particles, len(list_filter(x, lambda v: v is not null)) as present, {s6('list_sum(list_transform(range(len(x)), lambda i: coalesce(x[i + 1], 0) * (i % 97 + 1)))')} as checksum, cast(list_sum(status) as bigint) as statuses from r""")
 def tracks_pivot(spark, sf):
-    """Long states, pivoted to a row for each step and melted back: what the rectangular export holds."""
-    state = daily(spark, sf).where("nt < 60")
-    wide = state.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("nt", "x"))).alias("m"))
-    return wide.select("id", F.explode("m").alias("nt", "x"))
+    """The rectangular form: a row for each step with the particles as places, null where one is absent; read through a sum over places."""
+    from driftspark.sources import rectangular
+
+    wide = rectangular(daily(spark, sf), ["x", "status"], {"status": enums.NOT_RELEASED})
+    place = F.aggregate(F.zip_with("x", F.sequence(F.lit(0), F.size("x") - 1), lambda x, i: F.coalesce(x, F.lit(0.0)) * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x)
+    return wide.select(
+        "nt", F.size("x").cast("long").alias("particles"), F.size(F.filter("x", lambda v: v.isNotNull())).cast("long").alias("present"),
+        r6(place).alias("checksum"), F.aggregate("status", F.lit(0).cast("long"), lambda a, x: a + x).alias("statuses"),
+    )
 
 
 @query(f"select event_id, cast(case when abs(age) > 864000 then -5 else status end as bigint) as status from {AGED}")
@@ -326,7 +334,7 @@ def dry_index(spark, sf):
     return obs(spark, sf).select("event_id", fn.dry_index(F.lit(1), F.lit(0), F.col("y") / 100.0).alias("dry"))
 
 
-@query()
+@query(f"select event_id, id from {OBS} where {random_sql(7, 'id')} < 0.25")
 def random_sample(spark, sf):
     """A share of the particles, chosen by a hash of their id."""
     return obs(spark, sf).where(fn.uniform(7, "id") < 0.25).select("event_id", "id")

@@ -30,6 +30,20 @@ def s6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
+def random_sql(seed: int, *keys: str) -> str:
+    """What functions.uniform() says, in DuckDB."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"cast({k} as varchar)" for k in keys]])
+    return f"(cast(('0x' || left(md5({text}), 13)) as bigint) / 4503599627370496.0)"
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {random_sql(seed, *keys)})) * cos(2 * 3.141592653589793 * {random_sql(seed + 1, *keys)}))"
+
+
+def quoted(text: str) -> str:
+    return f"'{text}'"
+
+
 OBS = """(select event_id, user_id as id, cast(floor(epoch(ts)) as bigint) as t, value as x,
   cast(json_extract_string(props, '$.k') as integer) as y, -cast(json_extract_string(props, '$.k') as integer) / 10.0 as z,
   cast(case event_type when 'click' then 10 when 'view' then 6 when 'purchase' then 3 when 'signup' then 0 else -5 end as bigint) as status,

@@ -134,6 +134,35 @@ def write_tracks(state: DataFrame, path: str, steps_per_block: int, columns: lis
     kept.withColumn("block", F.floor(F.col("nt") / steps_per_block)).write.partitionBy("block").mode("append").parquet(path)
 
 
+def rectangular(state: DataFrame, columns: list[str], missing: dict | None = None, id_block: int = 100_000) -> DataFrame:
+    """(nt, first, columns): a row for each step and block of particles, arrays over the block's places, null where a particle is absent.
+
+    Places are ranks of ids, found by counts of buckets; a block has id_block places, so no row grows with the particles.
+    first: the block's first place.  missing: what stands for an absent value.
+    """
+    from driftspark.operators.mesh import numbered
+
+    ids = numbered(state.select("id").distinct(), "id", "place").select("id", "place")
+    ends = state.agg(F.min("nt").alias("a"), F.max("nt").alias("b"))  # one row
+    total = ids.agg(F.count("*").alias("total"))  # one row
+    block = F.floor(F.col("place") / id_block)
+    held = state.join(ids, "id").withColumn("first", (block * id_block).cast("long")).withColumn("k", (F.col("place") % id_block).cast("int"))
+    packed = held.groupBy("nt", "first").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct(*columns)))).alias("m"))
+    blocks = total.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(id_block).cast("long"))).alias("first"))
+    frame = ends.where("a is not null").join(F.broadcast(blocks), F.lit(True)).select("first", "total", F.explode(F.sequence("a", "b")).alias("nt"))
+    places = F.sequence(F.lit(0), (F.least(F.col("total") - F.col("first"), F.lit(id_block)) - 1).cast("int"))
+    empty = missing or {}
+
+    def laid_out(c: str) -> Column:
+        value = lambda i: F.try_element_at("m", i)[c]
+        if c not in empty:
+            return F.transform(places, value).alias(c)
+        return F.transform(places, lambda i: F.coalesce(value(i), F.lit(empty[c]).cast(state.schema[c].dataType))).alias(c)
+
+    arrays = [laid_out(c) for c in columns]
+    return frame.join(packed, ["nt", "first"], "left").select("nt", "first", *arrays)
+
+
 def read_tracks(spark: SparkSession, path: str, columns: list[str] | None = None, fraction: float | None = None, seed: int = 0) -> DataFrame:
     """Wanted columns, of a share of the particles: the same particles whatever the partitions."""
     from driftspark.functions import uniform

@@ -1,12 +1,13 @@
 """Whole runs, restarts, parameters and users' parts; files and streams."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftspark import params, sources, streaming
-from driftspark.operators import mesh, stats
+from driftspark.operators import kernel, mesh, stats
 from driftspark.plans import run as runs
 
 
@@ -50,7 +51,105 @@ def test_restart_gives_the_same(spark, flow, tmp_path):
     again = part.run(restart=True)
     key = lambda r: (r.id, r.nt)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
-    assert whole.agg(F.max("age")).first()[0] == 6000.0 and key
+    # what is over its age is told as alive once, as the check comes after, and then as dead, once
+    assert whole.where("status > -5").agg(F.max("age")).first()[0] == 6600.0 and key
+    dead = whole.where("status = -5").groupBy("id").agg(F.count("*").alias("n"), F.max("age").alias("age")).collect()
+    assert dead and {(r.n, r.age) for r in dead} == {(1, 7200.0)}
+
+
+@pytest.mark.parametrize("order", [1, 4])
+def test_fields_too_large_to_send_are_stepped_by_joins(spark, flow, tmp_path, monkeypatch, order):
+    group = {"points": [(7, 5), (5, 7.5)], "release_interval": 600.0, "duration": 600.0, "max_age": 1200.0}
+    how = {"max_run_duration": 2400.0, "steps_per_block": 3, "RK_order": order}
+    sent = made(spark, flow, tmp_path / "a", **how).add("release_groups", "point", **group).run().select("id", "nt", "x", "y", "status").collect()
+    monkeypatch.setattr(kernel, "BLOCK_MB", 0)
+    joined = made(spark, flow, tmp_path / "b", **how).add("release_groups", "point", **group).run().select("id", "nt", "x", "y", "status").collect()
+    key = lambda r: (r.id, r.nt, r.status)
+    assert sorted(map(key, sent)) == sorted(map(key, joined)) and {r.status for r in sent} == {10, -5}
+    where = {key(r): (r.x, r.y) for r in joined}
+    assert all(where[key(r)] == pytest.approx((r.x, r.y), abs=1e-9) for r in sent)
+    with pytest.raises(ValueError, match="too large"):
+        made(spark, flow, tmp_path / "c", use_dispersion=True, **how).add("release_groups", "point", **group).run()
+
+
+def test_3d_run_with_every_part(spark, flow, tmp_path):
+    node, tri, field = flow
+    node = node.withColumn("depth", 5 + F.col("x"))
+    arrays = {n: F.array(*[F.col(n) * k for k in (0.0, 0.5, 1.0)]).alias(n) for n in ("u", "v")}
+    field = field.select("node", "nt", *arrays.values(), F.array(*[F.lit(0.0)] * 3).alias("w"), (F.col("nt") * 0.1).alias("tide"), F.lit(0.05).alias("friction"))
+    r = runs.Run(spark, node, tri, field, str(tmp_path), kind="sigma", axis=[0.0, 0.4, 1.0])
+    r.settings(time_step=600.0, max_run_duration=7200.0, seed=3, A_H=1e-6, A_V=1e-3)
+    ring = {"points": [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)], "pulse_size": 40}
+    r.add("release_groups", "polygon", release_at_surface=True, **ring).add("release_groups", "polygon", z_min=-3.0, z_max=-2.0, water_depth_min=10.0, user_release_groupID=7, **ring)
+    r.add("velocity_modifiers", "terminal_velocity", value=-0.01).add("resuspension", "resuspension", critical_friction_velocity=0.01)
+    r.add("trajectory_modifiers", "split_particles", interval=3600.0, probability=0.5).add("trajectory_modifiers", "cull_rate", rate=1e-5)
+    tracks = r.run().cache()
+    start = tracks.where("nt = 0").join(spark.read.parquet(f"{tmp_path}/released").select("id", "user_grp"), "id")
+    a, b = start.where("grp = 0").collect(), start.where("grp = 1").collect()
+    assert len(a) == 40 and {q.z for q in a} == {0.0} and {q.user_grp for q in a} == {0}
+    assert 0 < len(b) < 40 and all(-3 <= q.z <= -2 and q.x >= 5 for q in b) and {q.user_grp for q in b} == {7}
+    seen = {q.status for q in tracks.select("status").distinct().collect()}
+    assert {10, 6} <= seen and tracks.where("parent is not null").count() > 0
+    assert tracks.where("status > -5 and nt > 0 and (z < -water_depth - 1e-9 or z > tide + 1e-9)").count() == 0
+    rows = tracks.where("nt = 3 and status > -5").collect()
+    assert all(q.water_depth == pytest.approx(5 + q.x) and q.tide == pytest.approx(0.05) for q in rows)
+    case = json.loads(spark.read.text(f"{tmp_path}/case").first()[0])
+    assert case["is_3d"] and case["steps"] == 12 and spark.read.parquet(f"{tmp_path}/grid/tri").count() == 200
+
+
+def test_dry_cells_and_downstream_groups(spark, flow, tmp_path):
+    node, tri, field = flow
+    dry = tri.join(node.withColumnRenamed("node", "n0"), "n0").select("tri", (F.col("x") >= 6).alias("is_dry"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("nt"))
+    r = runs.Run(spark, node, tri, field, str(tmp_path), dry=dry).settings(time_step=600.0, use_dispersion=False, max_run_duration=1800.0)
+    r.add("release_groups", "point", points=[(7.2, 5), (3.2, 5)]).add("release_groups", "point", points=[(7.2, 5)], allow_release_in_dry_cells=True)
+    r.add("release_groups", "downstream", points=[(3.5, 5.0)], distance=0.25).add("tidal_stranding", "tidal_stranding")
+    tracks = r.run()
+    first = {(q.grp, round(q.x, 6), round(q.y, 6)) for q in tracks.where("nt = 0").collect()}
+    assert first == {(0, 3.2, 5.0), (1, 7.2, 5.0), (2, 3.5, 4.75)}
+    assert {(q.grp, q.status) for q in tracks.where("nt = 3").collect()} == {(0, 10), (1, 3), (2, 10)}
+
+
+def test_parameter_files_and_command_line(spark, flow, tmp_path):
+    text = """
+# a run
+time_step: 600.0
+use_dispersion: false
+max_run_duration: 3600
+hindcast:
+  node: NODE
+  tri: TRI
+  field: FIELD
+release_groups:
+  - class_name: point
+    points: [[7, 5], [5, 8]]
+    release_interval: 0
+  - class_name: grid
+    rows: 2
+    cols: 2
+    span_x: 1.0
+    span_y: 1.0
+    center: [5.0, 5.0]
+trajectory_modifiers:
+- class_name: cull_particles
+  interval: 1200
+  probability: 0.0
+  statuses: [moving, on_bottom]
+"""
+    for name, df in zip(("node", "tri", "field"), flow):
+        df.write.parquet(str(tmp_path / name))
+        text = text.replace(name.upper(), str(tmp_path / name))
+    (tmp_path / "run.yaml").write_text(text)
+    given = params.plain_yaml(text)
+    assert given["release_groups"][0] == {"class_name": "point", "points": [[7, 5], [5, 8]], "release_interval": 0} and given["trajectory_modifiers"][0]["statuses"] == ["moving", "on_bottom"] and given["use_dispersion"] is False
+    (tmp_path / "run.json").write_text(json.dumps(given))
+    assert params.read_params(str(tmp_path / "run.json")) == given == params.read_params(str(tmp_path / "run.yaml"))
+    assert runs.main([str(tmp_path / "run.yaml"), "--output", str(tmp_path / "out"), "--duration", "1800"]) == 0
+    rows = spark.read.parquet(str(tmp_path / "out" / "tracks"))
+    assert rows.agg(F.max("nt")).first()[0] == 3 and rows.select("id").distinct().count() == 6
+    with pytest.raises(params.ParameterError, match="obsolete"):
+        params.merged({"root_output_dir": "x"}, params.SETTINGS, "settings")
+    with pytest.raises(params.ParameterError, match="did you mean moving"):
+        params.statuses(["movin"])
 
 
 def test_backwards(spark, flow, tmp_path):
