@@ -82,7 +82,7 @@ def test_3d_run_with_every_part(spark, flow, tmp_path):
     ring = {"points": [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)], "pulse_size": 40}
     r.add("release_groups", "polygon", release_at_surface=True, **ring).add("release_groups", "polygon", z_min=-3.0, z_max=-2.0, water_depth_min=10.0, user_release_groupID=7, **ring)
     r.add("velocity_modifiers", "terminal_velocity", value=-0.01).add("resuspension", "resuspension", critical_friction_velocity=0.01)
-    r.add("trajectory_modifiers", "split_particles", interval=3600.0, probability=0.5).add("trajectory_modifiers", "cull_rate", rate=1e-5)
+    r.add("trajectory_modifiers", "split_particles", interval=3600.0, probability=0.5, statuses=["moving", "on_bottom"]).add("trajectory_modifiers", "cull_rate", rate=1e-5)
     tracks = r.run().cache()
     start = tracks.where("nt = 0").join(spark.read.parquet(f"{tmp_path}/released").select("id", "user_grp"), "id")
     a, b = start.where("grp = 0").collect(), start.where("grp = 1").collect()
