@@ -5,7 +5,7 @@ A profile is an array over levels from the bottom up.  All are built-in expressi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import c, friction_velocity, linear
@@ -82,31 +82,31 @@ def bottom_friction(u, v, z, z0: float = 0.0003) -> Column:
     return friction_velocity(F.get(c(u), F.lit(1)), F.get(c(v), F.lit(1)), F.get(c(z), F.lit(1)) - F.get(c(z), F.lit(0)), z0)
 
 
-def u_to_psi(u: DataFrame, axis: str = "r") -> DataFrame:
-    """(r, c, val) at corners: the mean of the two values along an axis, masked ones as zero; axis c is for v."""
+def u_to_psi(u: DataFrame, axis: str = "r", *keys: str) -> DataFrame:
+    """(keys, r, c, val) at corners: the mean of the two values along an axis, masked ones as zero; axis c is for v."""
     # value i lies between corners i - 1 and i: give it to both
     both = F.explode(F.array(F.lit(0), F.lit(-1)))
     shared = u.withColumn("_d", both).withColumn(axis, F.col(axis) + F.col("_d"))
-    return shared.groupBy("r", "c").agg((F.sum(F.coalesce("val", F.lit(0.0))) / 2.0).alias("val"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
+    return shared.groupBy(*keys, "r", "c").agg((F.sum(F.coalesce("val", F.lit(0.0))) / 2.0).alias("val"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
 
 
-def rho_to_psi(rho: DataFrame) -> DataFrame:
-    """(r, c, val) at corners: the mean of the four values about each that are not null."""
+def rho_to_psi(rho: DataFrame, *keys: str) -> DataFrame:
+    """(keys, r, c, val) at corners: the mean of the four values about each that are not null."""
     step = lambda: F.explode(F.array(F.lit(0), F.lit(-1)))
-    shared = rho.withColumn("_a", step()).withColumn("_b", step()).select((F.col("r") + F.col("_a")).alias("r"), (F.col("c") + F.col("_b")).alias("c"), "val")
-    return shared.groupBy("r", "c").agg(F.avg("val").alias("val"), F.count("*").alias("_n")).where("_n = 4").drop("_n")
+    shared = rho.withColumn("_a", step()).withColumn("_b", step()).select(*keys, (F.col("r") + F.col("_a")).alias("r"), (F.col("c") + F.col("_b")).alias("c"), "val")
+    return shared.groupBy(*keys, "r", "c").agg(F.avg("val").alias("val"), F.count("*").alias("_n")).where("_n = 4").drop("_n")
 
 
-def cells_to_nodes(tri: DataFrame, node: DataFrame, value: DataFrame, least: float = 0.01) -> DataFrame:
-    """(node, val) from cells (tri, val): inverse distances to the cells' centres as weights.
+def cells_to_nodes(tri: DataFrame, node: DataFrame, value: DataFrame, least: float = 0.01, *keys: str) -> DataFrame:
+    """(keys, node, val) from cells (keys, tri, val): inverse distances to the cells' centres as weights.
 
     Null cells are made good by the count of cells, not by their weight.
     """
-    corner = tri.select("tri", F.posexplode(F.array("n0", "n1", "n2")).alias("k", "node")).join(node.select("node", "x", "y"), "node")
+    corner = tri.select("tri", F.explode(F.array("n0", "n1", "n2")).alias("node")).join(node.select("node", "x", "y"), "node")
     centre = corner.groupBy("tri").agg((F.sum("x") / 3.0).alias("cx"), (F.sum("y") / 3.0).alias("cy"))
-    w = corner.join(centre, "tri").join(value, "tri", "left").withColumn("w", 1.0 / F.greatest(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), F.lit(least)))
-    total = w.groupBy("node").agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("val")).alias("s"), F.count("*").alias("n"), F.count("val").alias("good"))
-    return total.select("node", F.try_divide(F.col("s") / F.col("total") * F.col("n"), F.col("good")).alias("val"))
+    w = corner.join(centre, "tri").join(value, "tri", "inner" if keys else "left").withColumn("w", 1.0 / F.greatest(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), F.lit(least)))
+    total = w.groupBy(*keys, "node").agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("val")).alias("s"), F.count("*").alias("n"), F.count("val").alias("good"))
+    return total.select(*keys, "node", F.try_divide(F.col("s") / F.col("total") * F.col("n"), F.col("good")).alias("val"))
 
 
 def dry_cells(tri: DataFrame, water: DataFrame, least: float = 0.25, *keys: str) -> DataFrame:
@@ -115,6 +115,74 @@ def dry_cells(tri: DataFrame, water: DataFrame, least: float = 0.25, *keys: str)
     return corner.groupBy(*keys, "tri").agg(F.bool_or(F.col("tide") + F.col("water_depth") < least).alias("is_dry"))
 
 
-def hindcast_gaps(steps: DataFrame, key: str) -> DataFrame:
-    """Steps with the time since the one before."""
-    return steps.withColumn("dt", F.col("time_sec") - F.lag("time_sec").over(Window.partitionBy(key).orderBy("time_sec")))
+def dry_by_nodes(tri: DataFrame, flags: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tri, is_dry) from nodes (keys, node, dry): dry where any corner is."""
+    corner = tri.select("tri", F.explode(F.array("n0", "n1", "n2")).alias("node")).join(flags, "node")
+    return corner.groupBy(*keys, "tri").agg(F.bool_or(F.col("dry").cast("boolean")).alias("is_dry"))
+
+
+def dry_by_levels(tri: DataFrame, profiles: DataFrame, least: float = 0.25, *keys: str) -> DataFrame:
+    """(keys, tri, is_dry) from nodes' interfaces (keys, node, z, bottom): dry where the water of any corner is thinner than least."""
+    thin = profiles.select(*keys, "node", (F.element_at("z", -1) - F.get("z", F.col("bottom")) < least).alias("dry"))
+    return dry_by_nodes(tri, thin, *keys)
+
+
+def ragged_to_interfaces(layer, bottom) -> Column:
+    """Layers above a ragged bottom to interfaces: means of neighbours; the ends have the nearest layer's value, what lies below is null.
+
+    layer: n values from the bottom up; interfaces: n + 1.
+    """
+    layer, bottom = c(layer), c(bottom)
+    n = F.size(layer)
+
+    def at(i: Column) -> Column:
+        below, above = F.get(layer, i - 1), F.get(layer, i)
+        return F.when(i < bottom, F.lit(None).cast("double")).when(i == bottom, above).when(i == n, below).otherwise((below + above) / 2.0)
+
+    return F.transform(F.sequence(F.lit(0), n), at)
+
+
+def layers_to_levels(layer, layer_at, level_at) -> Column:
+    """Layers at fractions of a node's own depth to levels at others, linear, the ends with the slope of the last two."""
+    return layers_to_interfaces(layer, layer_at, level_at)
+
+
+def regrid_log(values, z, target, bottom=0, z0: float = 0.0003) -> Column:
+    """A profile over interfaces z at fractions of the depth, linear but in the bottom cell, where velocities follow a logarithm."""
+    values, z, target, bottom = c(values), c(z), c(target), c(bottom)
+    low, high = F.get(z, bottom), F.element_at(z, -1)
+
+    def at(s: Column) -> Column:
+        q = low + s * (high - low)
+        k = F.greatest(F.least(F.size(F.filter(z, lambda v: v <= q)) - 1, F.size(z) - 2), bottom)
+        dz = F.get(z, k + 1) - F.get(z, k)
+        part = F.when(dz > z0, F.try_divide(q - F.get(z, k), dz)).otherwise(0.0)
+        rough = F.try_divide(F.lit(z0), dz)
+        log = F.when(dz > z0, (F.ln(part + rough) - F.ln(rough)) / (F.ln(1.0 + rough) - F.ln(rough))).otherwise(0.0)
+        w = F.when(k == bottom, log).otherwise(part)
+        return (1 - w) * F.get(values, k) + w * F.get(values, k + 1)
+
+    return F.transform(target, at)
+
+
+def sigma_profile(profiles: DataFrame, node_of: DataFrame, levels: int) -> list[float]:
+    """Fractions of a uniform grid: those of the chosen node (one row), re-interpolated to so many levels."""
+    (row,) = profiles.join(F.broadcast(node_of), "node").select(z_fractions("z").alias("f")).head(1)
+    f = list(row.f)
+    at = [i * (len(f) - 1) / (levels - 1) for i in range(levels)]
+    return [f[min(int(a), len(f) - 2)] + (a - min(int(a), len(f) - 2)) * (f[min(int(a), len(f) - 2) + 1] - f[min(int(a), len(f) - 2)]) for a in at]
+
+
+def friction(kind: str, u, v, z=None, sigma1=None, tide=None, depth=None, bottom=None, z0: float = 0.0003, density: float = 1025.0) -> Column:
+    """Friction velocity at a node: from the bottom cell of a sigma, S-layer or fixed grid, or (stress) from the stress u, v."""
+    u, v = c(u), c(v)
+    if kind == "stress":
+        return F.sqrt(F.hypot(u, v) / density)
+    if kind == "sigma":
+        dz, k = c(sigma1) * F.greatest(F.abs(c(tide) + c(depth)), F.lit(0.1)), F.lit(1)
+    else:
+        k = c(bottom) + 1
+        dz = F.get(c(z), k) - (F.get(c(z), c(bottom)) if kind == "slayer" else -c(depth))
+    speed = F.hypot(F.get(u, k), F.get(v, k))
+    value = 0.4 * speed / F.ln((dz + z0) / z0)
+    return value if kind == "sigma" else F.when(dz > 0.1, value).otherwise(0.0)

@@ -121,6 +121,15 @@ def outline(tri: DataFrame, node: DataFrame, most: int = 5_000_000) -> tuple[lis
     return found[first.ring], [r for k, r in enumerate(found) if k != first.ring]
 
 
+def domain_mask(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """points (x, y, ...) with masked: whether they lie outside the domain's ring."""
+    from driftspark.operators.spatial import last_polygon
+
+    closed = [*ring, ring[0]] if ring[0] != ring[-1] else ring
+    edges = [(0, *p, *q) for p, q in zip(closed, closed[1:])]
+    return points.withColumn("masked", last_polygon(edges) < 0)
+
+
 def node_types(node: DataFrame, tri: DataFrame, domain: DataFrame, island: DataFrame, open_: DataFrame) -> DataFrame:
     """(node, node_type); domain, island and open_ have a column node.  Later kinds go over earlier ones."""
     in_mesh = tri.select(F.explode(F.array("n0", "n1", "n2")).alias("node")).distinct()

@@ -32,6 +32,17 @@ def connectivity(counts: DataFrame, alive_counts: DataFrame, keys: list[str]) ->
     return counts.join(alive_counts, keys).withColumn("conn", F.try_divide(F.col("n"), F.col("n_alive")))
 
 
+def group_polygons(obs: DataFrame, rings: dict[int, list[tuple[float, float]]]) -> DataFrame:
+    """obs with poly, the release group's polygon that holds each state, or -1: for connectivity from group to group."""
+    from driftspark.operators.spatial import last_polygon
+
+    edges = []
+    for group, ring in sorted(rings.items()):
+        closed = [*ring, ring[0]] if tuple(ring[0]) != tuple(ring[-1]) else ring
+        edges += [(group, *p, *q) for p, q in zip(closed, closed[1:])]
+    return obs.withColumn("poly", last_polygon(edges))
+
+
 def running_mean(obs: DataFrame, start: int, update: int, k: int, *keys: str) -> DataFrame:
     """Mean count over blocks of k updates; updates without particles count as 0, blocks that aren't whole are dropped."""
     rows = obs.withColumn("nu", bin_of("t", start, update))

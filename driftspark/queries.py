@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftspark.plans import deep, meshes, observed  # noqa: F401  they register their queries
+from driftspark.plans import deep, meshes, models, observed  # noqa: F401  they register their queries
 from driftspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -163,6 +163,29 @@ def rectangular(state: DataFrame, columns: list[str], missing: dict | None = Non
     return frame.join(packed, ["nt", "first"], "left").select("nt", "first", *arrays)
 
 
+def merged_particles(parts: list[DataFrame], shifts: list[int]) -> DataFrame:
+    """Rows of several runs, each run's particles numbered from its shift on."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [p.withColumn("id", (F.col("id") + s).cast("long")) for p, s in zip(parts, shifts)])
+
+
+def pack_ragged(lists: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, place, value): lists of different lengths as one long column."""
+    return lists.select(key, F.posexplode(name).alias("place", "value"))
+
+
+def unpack_ragged(packed: DataFrame, key: str, name: str) -> DataFrame:
+    """The lists again."""
+    held = packed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("_v"))
+    return held.select(key, F.transform("_v", lambda x: x["value"]).alias(name))
+
+
+def read_result(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """A run's tables: tracks, released, grid/node, grid/tri, case, or results/<name> of a statistic or an event log."""
+    return spark.read.text(f"{folder}/{kind}") if kind == "case" else spark.read.parquet(f"{folder}/{kind}")
+
+
 def read_tracks(spark: SparkSession, path: str, columns: list[str] | None = None, fraction: float | None = None, seed: int = 0) -> DataFrame:
     """Wanted columns, of a share of the particles: the same particles whatever the partitions."""
     from driftspark.functions import uniform
