@@ -84,6 +84,38 @@ def boundary_edges(tri: DataFrame) -> DataFrame:
     return faces(tri).groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 1").select("a", "b")
 
 
+def boundary_rings(tri: DataFrame) -> DataFrame:
+    """(node, ring): the boundary's nodes by connected ring, named by its smallest node; by joins alone, whatever the mesh's size.
+
+    Each round a node takes the smallest name among its neighbours, and then that name's own, so names run along a ring in
+    a logarithm of its length; rounds end in a checkpoint.
+    """
+    spark = tri.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints")
+    edges = boundary_edges(tri)
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).checkpoint()
+    names = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("ring")).checkpoint()
+    while True:
+        least = both.join(names.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("ring").alias("low"))
+        lower = names.join(least, "node").select("node", "ring", F.least("ring", "low").alias("low"))
+        jump = lower.join(names.select(F.col("node").alias("low"), F.col("ring").alias("far")), "low", "left")
+        after = jump.select("node", F.least("low", F.coalesce("far", "low")).alias("ring"), (F.least("low", F.coalesce("far", "low")) < F.col("ring")).alias("moved")).checkpoint()
+        if after.where("moved").isEmpty():
+            return after.select("node", "ring")
+        names = after.select("node", "ring")
+
+
+def rings_by_kind(tri: DataFrame, node: DataFrame) -> DataFrame:
+    """(node, ring, is_domain): the ring that holds the node of the smallest x is the domain's, the others are islands."""
+    found = boundary_rings(tri)
+    first = found.join(node.select("node", "x"), "node").agg(F.min_by("ring", F.struct("x", "node")).alias("domain"))  # one row
+    return found.join(F.broadcast(first), F.lit(True)).select("node", "ring", (F.col("ring") == F.col("domain")).alias("is_domain"))
+
+
 def rings(edges: list[tuple[int, int]]) -> list[list[int]]:
     """Closed rings of nodes from boundary edges; where rings touch, one goes on with the smallest node."""
     near: dict[int, list[int]] = {}

@@ -94,9 +94,15 @@ EDGE = f"(select a, b from {FACE} group by 1, 2 having count(*) = 1)"
   left join (select distinct unnest([a, b]) as node from {EDGE}) d on n.node = d.node""")
 def node_type(spark, sf):
     node, _, tri = built(spark)
-    ring, islands = mesh.outline(tri, node)
-    one = lambda rows: spark.createDataFrame([(n,) for n in rows], "node long")
-    return mesh.node_types(node, tri, one(ring), one([n for r in islands for n in r]), node.where("y = 0"))
+    found = mesh.rings_by_kind(tri, node)
+    return mesh.node_types(node, tri, found.where("is_domain"), found.where("not is_domain"), node.where("y = 0"))
+
+
+@query(f"with r as (select distinct unnest([a, b]) as node from {EDGE}) select node, cast((select min(node) from r) as bigint) as ring, true as is_domain from r")
+def boundary_rings(spark, sf):
+    """The boundary's nodes by ring, without a driver."""
+    node, _, tri = built(spark)
+    return mesh.rings_by_kind(tri, node)
 
 
 @query(f"""with f as (select f.tri, f.face, case when g.tri is not null then g.tri when f.a in {OPEN} and f.b in {OPEN} then -2 else -1 end as adj

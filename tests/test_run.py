@@ -227,4 +227,32 @@ def test_streams(spark, tmp_path):
     from driftspark.operators import events
 
     batch = events.edges(obs, (F.col("x") >= 20) & (F.col("x") < 60)).select("id", F.timestamp_seconds("t").alias("ts"), "flag")
-    assert sorted(map(tuple, spark.table("live_events").select("id", "ts", "flag").collect())) == sorted(map(tuple, batch.collect()))
+    passed = obs.agg(F.max("t") - 3600).first()[0]  # what came later waits for its watermark
+    want = batch.where(F.col("ts") <= F.timestamp_seconds(F.lit(passed)))
+    assert sorted(map(tuple, spark.table("live_events").select("id", "ts", "flag").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_rows_find_their_place(spark, tmp_path):
+    """Files in which rows come later than newer ones, but within the watermark: the batch's events all the same."""
+    import datetime as dt
+    import random
+
+    start, rnd = dt.datetime(2024, 1, 1), random.Random(4)
+    rows = [(p, start + dt.timedelta(minutes=10 * k + p), 100 * k + p, rnd.choice([-1, -1, 0, 1])) for k in range(60) for p in range(3)]
+    rows += [(9, start + dt.timedelta(days=3), 10**6, -1)]  # moves the watermark on
+    schema = "id long, ts timestamp, event_id long, poly long"
+    mixed = sorted(rows[:-1], key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 50)))
+    for n in range(6):
+        spark.createDataFrame(mixed[n * 30 : (n + 1) * 30] if n < 5 else mixed[150:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows[-1:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.live_events(stream, "2 hours").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    q.stop()
+    want, inside = [], {}
+    for p, ts, _, poly in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        was = inside.get(p, -1)
+        if (poly >= 0) != (was >= 0):
+            want.append((p, ts, poly if poly >= 0 else was, 1 if poly >= 0 else -1))
+            inside[p] = poly
+    assert sorted(map(tuple, spark.table("late").collect())) == sorted(want)
