@@ -1,9 +1,9 @@
 """Exact top-k by inner product with KD-trees per shard.
 
-Vectors are dealt into shards of about ``shard_rows`` rows by a hash of their id.  A shard is cut by medians of
-its widest component into leaves with tight bounding boxes.  The largest inner product that a box allows is
-sum(max(q * low, q * high)); a query visits leaves from the largest bound down and stops at the first that
-cannot beat its kth score (or can only equal it with larger ids).
+Vectors are dealt into shards of about ``shard_rows`` rows by a hash of id and vector.  A shard is cut by medians of
+its widest component into a tree with a tight bounding box around each node.  The largest inner product that a box
+allows is sum(max(q * low, q * high)); a query goes best-first, from the node of the largest bound to its children,
+and stops at the first that cannot beat its kth score (or can only equal it with larger ids).
 
 Propagation.  All queries first search one pilot shard of each dimension.  The kth score found there is a
 bound that the true kth score is never below, and goes with each query to the other shards, which then open
@@ -24,6 +24,7 @@ its rows together, as often as they occur.  Empty tables give no rows.  Extra co
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,33 +39,35 @@ EXACT = float(1 << 53)
 LEAF = 256
 
 
-def leaves(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Row numbers of each leaf: median splits along the widest component."""
-    todo, out = [np.arange(len(x))], []
-    while todo:
-        rows = todo.pop()
-        part = x[rows]
-        if len(rows) <= leaf or x.shape[1] == 0:
-            out.append(rows)
-            continue
-        axis = int(np.argmax(part.max(0) - part.min(0)))
-        order = np.argpartition(part[:, axis], len(rows) // 2)
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    return out
-
-
 class Shard:
-    """A KD-tree's leaves in one matrix, their boxes, and the smallest id of each."""
+    """A KD-tree: median splits along the widest component, a tight box around each node, its children or its rows.
+
+    Rows of a leaf lie together; least: the smallest id below a node.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        parts = leaves(x, leaf)
+        self.children: list[tuple[int, int] | None] = []
+        boxes, parts, at = [], [], []
+        todo: list[tuple[np.ndarray, int]] = [(np.arange(len(x)), -1)]
+        while todo:
+            rows, parent = todo.pop()
+            node, part = len(self.children), x[rows]
+            if parent >= 0:
+                self.children[parent] = (*(self.children[parent] or ()), node)
+            self.children.append(None)
+            boxes.append((part.min(0), part.max(0), ids[rows].min()))
+            if len(rows) <= leaf or x.shape[1] == 0:
+                at.append((sum(map(len, parts)), len(rows)))
+                parts.append(rows)
+                continue
+            at.append((0, 0))
+            axis = int(np.argmax(part.max(0) - part.min(0)))
+            order = np.argpartition(part[:, axis], len(rows) // 2)
+            todo += [(rows[order[: len(rows) // 2]], node), (rows[order[len(rows) // 2 :]], node)]
         order = np.concatenate(parts)
-        self.ids, self.x = ids[order], x[order]
-        self.ends = np.cumsum([len(p) for p in parts])
-        self.starts = self.ends - [len(p) for p in parts]
-        self.low = np.array([x[p].min(0) for p in parts])
-        self.high = np.array([x[p].max(0) for p in parts])
-        self.least = np.array([ids[p].min() for p in parts])
+        self.ids, self.x, self.at = ids[order], x[order], at
+        self.low, self.high = (np.array([b[n] for b in boxes]) for n in (0, 1))
+        self.least = [int(b[2]) for b in boxes]
 
     def search(self, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
         """For each query the ids and scores of at most k candidates that can still be among its k best.
@@ -72,17 +75,24 @@ class Shard:
         kth: scores that the true kth score isn't below.
         """
         bounds = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        order = np.argsort(-bounds, axis=1)
         for row in range(len(q)):
             best_ids, best = np.empty(0, np.int64), np.empty(0)
-            floor = kth[row]
-            for leaf in order[row]:
-                bound = bounds[row, leaf]
+            floor, own = kth[row], bounds[row].tolist()
+            heap = [(-own[0], 0)]
+            while heap:
+                bound, node = heapq.heappop(heap)
+                bound = -bound
                 if bound < floor:
                     break
-                if len(best) == k and bound == best[-1] and self.least[leaf] > best_ids[-1]:
+                if len(best) == k and bound == best[-1] and self.least[node] > best_ids[-1]:
+                    continue
+                if self.children[node]:
+                    for child in self.children[node]:
+                        if own[child] >= floor:
+                            heapq.heappush(heap, (-own[child], child))
                     continue
-                rows = slice(self.starts[leaf], self.ends[leaf])
+                start, size = self.at[node]
+                rows = slice(start, start + size)
                 score = self.x[rows] @ q[row]
                 near = (score >= floor) & (self.ids[rows] != ids[row])
                 if not near.any():

@@ -58,8 +58,20 @@ def test_boxes_bound_their_leaves():
     assert sorted(shard.ids.tolist()) == list(range(500))
     q = np.floor(rng.standard_normal(6) * 40)
     bound = np.maximum(q, 0) @ shard.high.T + np.minimum(q, 0) @ shard.low.T
-    for k, (a, b) in enumerate(zip(shard.starts, shard.ends)):
-        assert (shard.x[a:b] @ q).max() <= bound[k]
+
+    def below(node):
+        kids = shard.children[node]
+        return [shard.at[node]] if not kids else [x for kid in kids for x in below(kid)]
+
+    leaves = 0
+    for node in range(len(shard.children)):
+        rows = np.concatenate([np.arange(a, a + n) for a, n in below(node)])
+        leaves += not shard.children[node]
+        assert (shard.x[rows] @ q).max() <= bound[node] and shard.ids[rows].min() == shard.least[node]
+        assert (shard.x[rows].min(0) == shard.low[node]).all() and (shard.x[rows].max(0) == shard.high[node]).all()
+        for kid in shard.children[node] or ():
+            assert bound[kid] <= bound[node]
+    assert leaves == 16 and len(below(0)) == 16
 
 
 @pytest.mark.parametrize("shards", [(8192, 4096), (10, 3)])
