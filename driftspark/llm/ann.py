@@ -25,6 +25,7 @@ own id; fewer candidates give fewer rows.  Empty tables give no rows.  Extra col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,10 +301,20 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("q"), pa.array(ids, pa.list_(pa.int64()))], ["q", "node"])
 
 
-def nearest(embeddings: DataFrame, every: int, k: int, ef: int = 256, **how) -> DataFrame:
+#: Nodes up to which the pools and rounds as they are have been measured.
+MEASURED = 50_000
+
+
+def grown(nodes: int, ef: int = 256, rounds: int = 4) -> tuple[int, int]:
+    """The pool's size and the rounds of descent for so many nodes: a quarter more and half a round for each doubling beyond those measured."""
+    doublings = max(0.0, math.log2(max(1, nodes) / MEASURED))
+    return math.ceil(ef * (1 + doublings / 4)), rounds + math.ceil(doublings / 2)
+
+
+def nearest(embeddings: DataFrame, every: int, k: int, ef: int | None = None, **how) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by every.
 
-    how: degree, reverse, trees, rounds and each of graph().
+    ef: the pool's size; by the number of nodes if not given.  how: degree, reverse, trees, rounds and each of graph().
     """
     scratch = Scratch(embeddings.sparkSession, "ann")
     rows = valid(embeddings).where("exists(v, x -> x <> 0)")
@@ -313,6 +324,8 @@ def nearest(embeddings: DataFrame, every: int, k: int, ef: int = 256, **how) ->
     classes = classes.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = classes.select(F.xxhash64("v", F.col("ids")[0]).alias("node"), F.size("v").alias("dim"), "ids", "v")
     nodes = scratch.put(map_arrow(classes, _node_bytes, "node long, dim int, ids array<bigint>, v array<double>, bytes binary"))
+    by_count = grown(nodes.count())
+    ef, how = ef or by_count[0], {"rounds": by_count[1]} | how
     state = graph(nodes, scratch, **how)
     members = _members(state, nodes, how.get("reverse", 24)).repartition("center").sortWithinPartitions("center")
     index = scratch.put(map_arrow(members, _packed, "at long, ids binary, vectors binary"))

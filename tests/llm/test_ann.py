@@ -85,3 +85,8 @@ def test_crowds_of_near_copies(spark, noise):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     crowd = [q for q in want if q % 3 == 0]
     assert sum(len(got[q] & {i for i, _ in want[q]}) for q in crowd) >= 0.9 * 5 * len(crowd)
+
+
+def test_pools_grow_with_the_table():
+    assert ann.grown(0) == ann.grown(1) == ann.grown(ann.MEASURED) == (256, 4)
+    assert ann.grown(4 * ann.MEASURED) == (384, 5) and ann.grown(10**9)[0] > 1000
