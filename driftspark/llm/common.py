@@ -6,8 +6,10 @@ tables in the shared folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +76,31 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(make: Callable[[], DataFrame], scratch: Scratch) -> DataFrame:
+    """What make() gives, as a table of scratch; the tables that were made on the way are deleted."""
+    others = list(Scratch.opened)
+    out = scratch.put(make())
+    for made in [s for s in Scratch.opened if s not in others and s is not scratch]:
+        made.close()
+    return out
+
+
+def _tidy(function):
+    """The function, after which its worker process gives memory back that it doesn't use: the next task may be another's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow over a DataFrame, with the package's code on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidy(function), schema)
 
 
 def own_columns(df: DataFrame, *names: str, optional: tuple[str, ...] = ()) -> DataFrame:
