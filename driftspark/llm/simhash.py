@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import Scratch, components, fresh, groups, map_arrow, own_columns
+from driftspark.llm.common import Scratch, components, fresh, groups, map_arrow, own_columns, settled
 
 #: Shingle hashes whose bits are counted at once: 64 bytes each.
 BLOCK = 1 << 15
@@ -128,9 +128,9 @@ def links(distinct: DataFrame, bits: int = 3, chunk: int = 100_000) -> DataFrame
     if not 1 <= bits <= 3:
         raise ValueError("bits must be 1, 2 or 3")
     half = "(fp >> (32 * (v div 32))) & 4294967295"
-    # dealt anew, as each row becomes 64 and small partitions have been put together
-    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = distinct.repartition(spread, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(
+    # dealt anew over all cores, as each row becomes 64 and small partitions have been put together
+    spread = 2 * distinct.sparkSession.sparkContext.defaultParallelism
+    variants = distinct.repartition(spread).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(
         "fp",
         F.expr(f"shiftleft(cast(v as bigint), 32) | (({half}) & ~shiftleft(1L, v % 32))").alias("key"),
     )
@@ -165,5 +165,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows with a null doc_id stay.  Of several rows with one doc_id, all stay if the id does.
     """
     name = fresh("_gone_id", docs.columns)
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = settled(lambda: near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), Scratch(docs.sparkSession, "gone"))
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
