@@ -46,7 +46,7 @@ MEET = 256
 #: Signs that the transition table knows: 0 space, 1 any other letter, the rest by frequency.
 SIGNS = 64
 #: Characters that are parsed at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def normal(text: str) -> str:
