@@ -319,7 +319,7 @@ class Block:
     # -- steps
 
     def advance(self, p: dict[str, np.ndarray], steps: int, per_field: float, rules: Rules, base: int = 0, offset: float = 0.0):
-        """Yields the particles after each step.  p: the columns of STATE; nt: the step before which each waits.
+        """Yields the particles after each step, in arrays that the next step writes to.  p: the columns of STATE; nt: the step before which each waits.
 
         per_field: steps of the field in one step; negative: backwards from the block's end.  offset: the first step's
         time in the block; base: its number.
@@ -350,7 +350,7 @@ class Block:
                 p["status"][alive] = np.where((s >= enums.STATIONARY) & dry, enums.STRANDED, np.where((s == enums.STRANDED) & ~dry, enums.MOVING, s))
             out = dict(p)
             out["nt"] = np.where(here, step + 1, p["nt"])
-            yield {c: v.copy() for c, v in out.items()}, here
+            yield out, here
             if (p["status"] <= enums.DEAD).any():
                 keep = p["status"] > enums.DEAD
                 p = {c: v[keep] for c, v in p.items()}
@@ -428,7 +428,7 @@ class Block:
         p["status"][moving[out]] = enums.OUTSIDE_OPEN
 
     def _layers(self, p, rows, t, rules: Rules) -> None:
-        if not len(rows):
+        if not len(rows) or (self.kind is None and self.tide is None and self.depth is None):
             return
         cell = p["tri"][rows]
         b = self.barycentric(cell, p["x"][rows], p["y"][rows])
