@@ -37,6 +37,8 @@ from driftspark.session import ship
 #: A field block larger than this is not broadcast.
 BLOCK_MB = 200
 TOLERANCE, MAX_WALK = 1e-3, 500
+#: In cells at the mesh's edge, where what is beyond must not pass for within.
+AT_EDGE = 1e-9
 SIGMA, SLAYER, FIXED_Z = "sigma", "slayer", "fixed_z"
 
 
@@ -136,6 +138,10 @@ class Block:
         (x0, x1, x2), (y0, y1, y2) = self.x[self.tri].T, self.y[self.tri].T
         det = (x0 - x2) * (y1 - y2) - (x1 - x2) * (y0 - y2)
         self.t = np.stack([(y1 - y2) / det, (x2 - x1) / det, (y2 - y0) / det, (x0 - x2) / det, x2, y2])
+        n, m = np.nonzero(self.adjacency < 0)
+        rim = np.zeros(len(self.x), bool)
+        rim[self.tri[n, (m + 1) % 3]] = rim[self.tri[n, (m + 2) % 3]] = True
+        self.tolerance = np.where(rim[self.tri].any(1), AT_EDGE, TOLERANCE)
         self._bins = None
         self.a_z_slope = None if self.a_z is None else self.slope(self.a_z)
 
@@ -147,7 +153,7 @@ class Block:
         b1 = t[2] * (x - t[4]) + t[3] * (y - t[5])
         return np.stack([b0, b1, 1 - b0 - b1])
 
-    def find(self, x: np.ndarray, y: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    def find(self, x: np.ndarray, y: np.ndarray, tolerance: float = AT_EDGE) -> np.ndarray:
         """The smallest triangle that holds each point, -1 where none does: by cells of a regular grid."""
         if self._bins is None:
             low, high = np.array([self.x.min(), self.y.min()]), np.array([self.x.max(), self.y.max()])
@@ -184,7 +190,7 @@ class Block:
         cell = cell.copy()
         status = np.where(np.isfinite(x) & np.isfinite(y), enums.CELL_OK, enums.BAD_COORD)
         b = self.barycentric(cell, x, y)
-        todo = np.flatnonzero((status == enums.CELL_OK) & (b.min(0) <= -TOLERANCE))
+        todo = np.flatnonzero((status == enums.CELL_OK) & (b.min(0) <= -self.tolerance[cell]))
         closed = self.dry_index(step) > 128 if block_dry and self.dry is not None and len(todo) else None
         for _ in range(MAX_WALK):
             if not len(todo):
@@ -197,7 +203,7 @@ class Block:
             todo = todo[go]
             cell[todo] = ahead[go]
             b[:, todo] = self.barycentric(cell[todo], x[todo], y[todo])
-            todo = todo[b[:, todo].min(0) <= -TOLERANCE]
+            todo = todo[b[:, todo].min(0) <= -self.tolerance[cell[todo]]]
         else:
             status[todo] = enums.FAILED
         return cell, b, status

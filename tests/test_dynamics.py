@@ -129,6 +129,21 @@ def test_results_do_not_depend_on_partitions(spark):
     assert abs(drawn.mean()) < 0.12 and abs(drawn.std() - 1) < 0.1
 
 
+#: Just beyond the right edge: below a node at the height of a cell that has no edge there, of one that has, and within.
+NEAR_EDGE = [(0.4, 0.1000001), (0.4, 0.05), (0.399999, 0.05)]
+
+
+def just_over(open_right):
+    b = block(u=lambda x, y, t: 0.6 + 1e-7, v=lambda x, y, t: 0.0, open_right=open_right)
+    x, y = zip(*NEAR_EDGE)
+    _, x, _, s = go(b, *start(b, x, y), 1, 1.0, order=1, use_open=True)
+    return np.round(x, 7).tolist(), s.tolist()
+
+
+def test_a_closed_edge_holds_what_is_just_over_it():
+    assert just_over(False) == ([0.4, 0.4, 0.9999991], [enums.MOVING] * 3)
+
+
 def test_split_and_cull(spark):
     state = spark.range(4000).select("id", F.lit(10).cast("long").alias("status"), F.lit(50.0).alias("age"))
     out = dynamics.split(state, 0.25, 1, [10], 7)
