@@ -144,6 +144,10 @@ def test_a_closed_edge_holds_what_is_just_over_it():
     assert just_over(False) == ([0.4, 0.4, 0.9999991], [enums.MOVING] * 3)
 
 
+def test_an_open_edge_lets_out_what_is_just_over_it():
+    assert just_over(True) == ([1.0000001, 1.0000001, 0.9999991], [enums.OUTSIDE_OPEN] * 2 + [enums.MOVING])
+
+
 def test_split_and_cull(spark):
     state = spark.range(4000).select("id", F.lit(10).cast("long").alias("status"), F.lit(50.0).alias("age"))
     out = dynamics.split(state, 0.25, 1, [10], 7)
