@@ -255,11 +255,15 @@ def tracks_pivot(spark, sf):
     from driftspark.sources import rectangular
 
     wide = rectangular(daily(spark, sf), ["x", "status"], {"status": enums.NOT_RELEASED})
-    place = F.aggregate(F.zip_with("x", F.sequence(F.lit(0), F.size("x") - 1), lambda x, i: F.coalesce(x, F.lit(0.0)) * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x)
-    return wide.select(
-        "nt", F.size("x").cast("long").alias("particles"), F.size(F.filter("x", lambda v: v.isNotNull())).cast("long").alias("present"),
-        r6(place).alias("checksum"), F.aggregate("status", F.lit(0).cast("long"), lambda a, x: a + x).alias("statuses"),
+    of_block = F.aggregate(F.zip_with("x", F.sequence(F.lit(0), F.size("x") - 1), lambda x, i: F.coalesce(x, F.lit(0.0)) * ((F.col("first") + i) % 97 + 1)), F.lit(0.0), lambda a, x: a + x)
+    parts = wide.select(
+        "nt", "first", F.size("x").cast("long").alias("particles"), F.size(F.filter("x", lambda v: v.isNotNull())).cast("long").alias("present"),
+        of_block.alias("checksum"), F.aggregate("status", F.lit(0).cast("long"), lambda a, x: a + x).alias("statuses"),
     )
+    # a step has a row for each block of particles
+    sums = F.transform(F.sort_array(F.collect_list(F.struct("first", "checksum"))), lambda b: b["checksum"])
+    steps = parts.groupBy("nt").agg(*[F.sum(c).alias(c) for c in ("particles", "present", "statuses")], F.aggregate(sums, F.lit(0.0), lambda a, x: a + x).alias("checksum"))
+    return steps.select("nt", "particles", "present", r6(F.col("checksum")).alias("checksum"), "statuses")
 
 
 @query(f"select event_id, cast(case when abs(age) > 864000 then -5 else status end as bigint) as status from {AGED}")

@@ -147,17 +147,22 @@ def rectangular(state: DataFrame, columns: list[str], missing: dict | None = Non
     total = ids.agg(F.count("*").alias("total"))  # one row
     block = F.floor(F.col("place") / id_block)
     held = state.join(ids, "id").withColumn("first", (block * id_block).cast("long")).withColumn("k", (F.col("place") % id_block).cast("int"))
-    packed = held.groupBy("nt", "first").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct(*columns)))).alias("m"))
+    packed = held.groupBy("nt", "first").agg(F.sort_array(F.collect_list(F.struct("k", F.struct(*columns).alias("v")))).alias("m"))
     blocks = total.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(id_block).cast("long"))).alias("first"))
     frame = ends.where("a is not null").join(F.broadcast(blocks), F.lit(True)).select("first", "total", F.explode(F.sequence("a", "b")).alias("nt"))
-    places = F.sequence(F.lit(0), (F.least(F.col("total") - F.col("first"), F.lit(id_block)) - 1).cast("int"))
-    empty = missing or {}
+    size = F.least(F.col("total") - F.col("first"), F.lit(id_block)).cast("int")
+    twice = F.raise_error(F.lit("a particle has two states in one step")).cast("int")
 
     def laid_out(c: str) -> Column:
-        value = lambda i: F.try_element_at("m", i)[c]
-        if c not in empty:
-            return F.transform(places, value).alias(c)
-        return F.transform(places, lambda i: F.coalesce(value(i), F.lit(empty[c]).cast(state.schema[c].dataType))).alias(c)
+        """Each value after as many absent ones as there are places since the last: no place is searched for."""
+        absent = F.lit((missing or {}).get(c)).cast(state.schema[c].dataType)
+
+        def part(e: Column, i: Column) -> Column:
+            gap = e["k"] - F.coalesce(F.get("m", i - 1)["k"], F.lit(-1)) - 1
+            return F.concat(F.array_repeat(absent, F.when(gap < 0, twice).otherwise(gap)), F.array(F.coalesce(e["v"][c], absent)))
+
+        rest = F.array_repeat(absent, size - 1 - F.element_at("m", -1)["k"])
+        return F.coalesce(F.concat(F.flatten(F.transform("m", part)), rest), F.array_repeat(absent, size)).alias(c)
 
     arrays = [laid_out(c) for c in columns]
     return frame.join(packed, ["nt", "first"], "left").select("nt", "first", *arrays)

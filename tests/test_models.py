@@ -1,14 +1,16 @@
 """Maps against published numbers, rewritten fields, nested grids, rings, results; the readers have queries with SQL."""
 
 import math
+import time
 from datetime import datetime
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftspark import sources
 from driftspark.operators import kernel, mesh, nested, projections, spatial
-from driftspark.plans import models
+from driftspark.plans import models, observed
 from driftspark.sources import hindcast
 
 
@@ -104,3 +106,35 @@ def test_polygons_hold_what_is_just_below_their_right_edge(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = models.polygon_connectivity(spark, str(tmp_path)).collect()
     assert sorted((r.poly, r.n, r.n_alive) for r in got) == [(0, 2, 6), (2, 2, 6)]
+
+
+STATES = [(1, 5, 2.0, 10), (1, 7, None, None), (1, 11, 4.0, 3), (3, 8, 1.0, 6)]
+
+
+def test_rectangular_places(spark):
+    """Absent ones before, between and after, a step without any, blocks of two."""
+    state = spark.createDataFrame(STATES, "nt long, id long, x double, status long")
+    got = {(r.nt, r.first): (r.x, r.status) for r in sources.rectangular(state, ["x", "status"], {"status": -10}, 3).collect()}
+    assert got == {
+        (1, 0): ([2.0, None, None], [10, -10, -10]), (1, 3): ([4.0], [3]), (2, 0): ([None] * 3, [-10] * 3), (2, 3): ([None], [-10]),
+        (3, 0): ([None, None, 1.0], [-10, -10, 6]), (3, 3): ([None], [-10]),
+    }
+    with pytest.raises(Exception, match="two states"):
+        sources.rectangular(state.union(state), ["x"]).collect()
+
+
+def test_rectangular_does_not_search_for_places(spark):
+    """A wide block takes about as long a place as a narrow one."""
+    state = spark.range(40_000).select(F.lit(0).cast("long").alias("nt"), "id", F.col("id").cast("double").alias("x"))
+    spent = {}
+    for size in (1_000, 1_000, 40_000):
+        since = time.monotonic()
+        assert sum(r.n for r in sources.rectangular(state, ["x"], None, size).select(F.expr("size(filter(x, v -> v is not null))").alias("n")).collect()) == 40_000
+        spent[size] = time.monotonic() - since
+    assert spent[40_000] < 2 * spent[1_000] + 1
+
+
+def test_tracks_of_many_blocks_are_one_row_a_step(spark, monkeypatch):
+    whole = sorted(map(tuple, observed.tracks_pivot(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(sources, "rectangular", partial(sources.rectangular, id_block=7))
+    assert sorted(map(tuple, observed.tracks_pivot(spark, "/root/testdata/sf0.001").collect())) == [pytest.approx(r, abs=1e-5) for r in whole]
